@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.common import table
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.language_id import identify_languages
+from millrace.llm.minhash import near_duplicates
 from millrace.llm.token_count import count_tokens
 from millrace.llm.toxicity import score_toxicity, train_toxicity
 from millrace.llm.url_filter import filter_urls
@@ -37,6 +38,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, similarity=0.8)
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_url_filter": op5_url_filter,
+    "op6_minhash": op6_minhash,
     "op7_token_count": op7_token_count,
     "op9_language_id": op9_language_id,
 }
@@ -79,4 +85,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.v, 'allow') AS verdict
         FROM u LEFT JOIN fits f ON u.page_id = f.page_id AND u.host = f.host AND u.path = f.path
     """,
+    "op6_minhash": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh
+            FROM w),
+        u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+        links AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        reach(x, y) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+        SELECT s.doc_id, len(sh) AS n_shingles, min(y) AS component_id, s.doc_id = min(y) AS kept
+        FROM s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, sh
+    """,
 }
