@@ -48,3 +48,12 @@ def ascii_lower(column: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """The fifth of the rows that no model learns from: crc32 of the id as text, mod 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+#: Lists of up to so many ids (16 bytes at most each) are broadcast; longer ones are shuffled.
+BROADCAST_IDS = 500_000
+
+
+def only(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` is among ``ids``, written before so that counting them is cheap."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_semi")

@@ -8,6 +8,8 @@ the driver. All sums over a node's edges combine before the shuffle, and joins o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +41,38 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
     smallest = labels.groupBy("root").agg(F.min("node").alias("component"))
     return labels.join(smallest, "root").select("node", "component")
+
+
+def link_buckets(banded: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components of nodes that share a bucket and are confirmed to be alike, without pairing all of a bucket.
+
+    banded: key, id (a row for each bucket a node is in). nodes: id and what ``near`` reads, one row each.
+    near(a, b): a cheap necessary condition on the nodes' columns with the prefixes a and b. confirm: pairs
+    a, b to those which are links.
+
+    First every member is paired with its bucket's smallest id, a star. Buckets whose members are then still
+    of different components pair these across components under ``near``, inside the join; so no candidate
+    link between two components goes untested, and members already linked are never paired.
+    """
+    columns = [c for c in nodes.columns if c != "id"]
+
+    def side(name: str) -> DataFrame:
+        return nodes.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+    stars = banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where(F.col("a") != F.col("last")).select("key", "a")
+    members = materialise(banded.join(stars, "key").select("key", "a", F.col("id").alias("b")), "buckets")
+    pairs = members.where(F.col("a") != F.col("b")).select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    tried = materialise(pairs.where(near("a_", "b_")).select("a", "b"), "pairs")
+    links = materialise(confirm(tried), "links")
+    parts = materialise(connected_components(links), "parts")
+
+    whole = members.select("key", F.col("b").alias("id")).join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
+    mixed = whole.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where(F.col("p") != F.col("q")).select("key")
+    rows = materialise(whole.join(mixed, "key").select("key", "id", "part").join(nodes, "id"), "mixed")
+    left = rows.select("key", F.col("id").alias("a"), F.col("part").alias("p"), *[F.col(c).alias(f"a_{c}") for c in columns])
+    right = rows.select(F.col("key").alias("key_b"), F.col("id").alias("b"), F.col("part").alias("q"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    across = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & near("a_", "b_"))
+    more = materialise(across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    if more.isEmpty():
+        return parts
+    return materialise(connected_components(links.unionAll(confirm(more))), "parts")

@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise
-from millrace.llm.components import connected_components
+from millrace.llm.common import materialise, only
+from millrace.llm.components import link_buckets
 from millrace.llm.words import SPACES, combine, mix, shingles, slices, words
 
 BANDS, ROWS, BITS = 32, 6, 512
@@ -119,14 +119,10 @@ def _near(a: str, b: str, similarity: float, bound: int) -> Column:
     return (100 * small >= round(100 * similarity) * large) & (z <= bound)
 
 
-def _side(nodes: DataFrame, name: str) -> DataFrame:
-    return nodes.select(F.col("rep").alias(name), F.col("n").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch"))
-
-
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """The pairs a, b whose full sets reach the similarity."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left_semi")
+    texts = only(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), materialise(ids, "ids"), "doc_id")
     sets = materialise(full_sets(texts, size), "sets")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -138,35 +134,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     bound = sketch_bound(similarity - MARGIN)
     rows = materialise(features(docs, size, id_col, text_col), "minhash")
     named = rows.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    groups = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    groups = named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     nodes = materialise(groups, "nodes")
-    banded = nodes.select("rep", F.explode("keys").alias("key"))
-    stars = banded.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where(F.col("a") != F.col("last")).select("key", "a")
-    members = materialise(banded.join(stars, "key").select("key", "a", F.col("rep").alias("b")), "buckets")
-
-    pairs = members.where(F.col("a") != F.col("b")).select("a", "b").distinct().join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b")
-    tried = materialise(pairs.where(_near("a_", "b_", similarity, bound)).select("a", "b").distinct(), "pairs")
-    links = materialise(confirm(tried, docs, size, similarity, id_col, text_col), "links")
-    parts = materialise(connected_components(links), "parts")
-
-    # Buckets whose members are still of different components: pairs across components, but those tried.
-    whole = members.select("key", F.col("b").alias("rep")).join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
-    mixed = whole.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where(F.col("p") != F.col("q")).select("key")
-    open_rows = materialise(whole.join(mixed, "key").join(nodes.select("rep", "n", "sketch"), "rep").select("key", "rep", "part", "n", "sketch"), "open")
-    left = open_rows.select("key", F.col("rep").alias("a"), F.col("part").alias("p"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
-    right = open_rows.select(F.col("key").alias("key_b"), F.col("rep").alias("b"), F.col("part").alias("q"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
-    across = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & _near("a_", "b_", similarity, bound))
-    more = materialise(across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        links = links.unionAll(confirm(more, docs, size, similarity, id_col, text_col))
-        parts = materialise(connected_components(links), "parts")
-
-    owner = groups_of(nodes, parts)
+    parts = link_buckets(
+        nodes.select("id", F.explode("keys").alias("key")),
+        nodes.select("id", "n", "sketch"),
+        lambda a, b: _near(a, b, similarity, bound),
+        lambda pairs: confirm(pairs, docs, size, similarity, id_col, text_col),
+    )
+    owner = nodes.select("digest", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     component = F.coalesce("component_id", "doc_id")
     joined = rows.select("doc_id", "n", "digest").join(owner, "digest", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def groups_of(nodes: DataFrame, parts: DataFrame) -> DataFrame:
-    """digest, component_id of every set."""
-    return nodes.select("digest", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
