@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.common import table
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.language_id import identify_languages
+from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.minhash import near_duplicates
 from millrace.llm.token_count import count_tokens
 from millrace.llm.toxicity import score_toxicity, train_toxicity
@@ -50,6 +51,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash": op6_minhash,
     "op7_token_count": op7_token_count,
     "op9_language_id": op9_language_id,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
