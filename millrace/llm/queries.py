@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm.common import table
 from millrace.llm.decontaminate import find_leaks
@@ -12,6 +13,7 @@ from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.language_id import identify_languages
 from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.minhash import near_duplicates
+from millrace.llm.sentencepiece_codec import decode_documents, encode_documents
 from millrace.llm.token_count import count_tokens
 from millrace.llm.toxicity import score_toxicity, train_toxicity
 from millrace.llm.url_filter import filter_urls
@@ -39,6 +41,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    coded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), model), model)
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")
+    return coded.select("doc_id", "n_chunks", F.size("ids").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -64,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_url_filter": op5_url_filter,
     "op6_minhash": op6_minhash,
     "op7_token_count": op7_token_count,
