@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import table
 from millrace.llm.decontaminate import find_leaks
 from millrace.llm.exact_dedup import exact_dedup
+from millrace.llm.html_extract import extract_text
 from millrace.llm.language_id import identify_languages
 from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.minhash import near_duplicates
@@ -61,6 +62,10 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_minhash": op6_minhash,
     "op7_token_count": op7_token_count,
+    "op8_html_extract": op8_html_extract,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
