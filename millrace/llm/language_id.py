@@ -127,9 +127,12 @@ def prototypes(train: DataFrame, text_col: str, lang_col: str, dim: int, n: int,
 
 
 def identify_languages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dim: int = 1024, n: int = 3, seed: int = 7, keep_text: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dim: int = 1024, n: int = 3, seed: int = 7, keep: bool = False
 ) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score. Learns from the rows that aren't held out and have a language."""
+    """One row per document: doc_id, held_out, lang_pred, score, after all columns of ``docs`` (but any of these names) if ``keep`` is set.
+
+    Learns from the rows that aren't held out and have a language.
+    """
     train = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
     known = prototypes(train, text_col, lang_col, dim, n, seed)
     names = [*known, UNDETERMINED]
@@ -139,16 +142,23 @@ def identify_languages(
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
-                vectors = text_vectors(part.column("text").to_pylist(), dim, n, seed)
+                vectors = text_vectors(part.column("__text").to_pylist(), dim, n, seed)
                 norms = np.linalg.norm(vectors, axis=1)
                 cosines = np.hstack([np.full((len(vectors), 1), -2.0), vectors @ matrix.T / np.maximum(norms, 1e-9)[:, None]])
                 best = np.argmax(cosines, axis=1)
                 none = (norms == 0) | (best == 0)
                 score = np.where(none, 0.0, np.clip(cosines[np.arange(len(best)), best], 0, 1))
                 pred = [names[-1] if u else names[b - 1] for u, b in zip(none, best, strict=True)]
-                columns = [part.column("doc_id"), part.column("held_out"), pa.array(pred, pa.string()), pa.array(score.astype(np.float64))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+                given = part.columns[: len(part.columns) - 1] if keep else part.columns[:2]
+                columns = [*given, pa.array(pred, pa.string()), pa.array(score.astype(np.float64))]
+                yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
+
+    if keep:
+        docs = docs.drop("lang_pred", "score", "__text")
+        rows = docs.withColumn("__text", F.col(text_col))
+        given = docs.dtypes
+    else:
+        rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("__text"))
+        given = rows.dtypes[:2]
+    fields = ", ".join(f"`{n}` {t}" for n, t in given)
+    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
