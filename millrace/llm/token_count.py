@@ -127,6 +127,19 @@ def piece_counts(words: DataFrame, tokenizer: str) -> DataFrame:
     return words.mapInArrow(run, "w string, docs long, n int")
 
 
+def head_floor(counts: DataFrame, head: int) -> int:
+    """The least document frequency of at most ``head`` pre-tokens, from a histogram of at most 512 cells."""
+    cell = F.floor(8 * F.log2(F.col("docs"))).cast("int")
+    cells = counts.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("docs").alias("docs")).collect()
+    total, floor = 0, 1 << 62
+    for _, n, docs in sorted(cells, reverse=True):
+        total += n
+        if total > head:
+            break
+        floor = docs
+    return floor
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit. tokenizer: a tokenizers .json file."""
     per_doc = materialise(frequencies(docs, tokenizer, id_col, text_col), "frequencies")
@@ -134,21 +147,16 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     counts = materialise(piece_counts(distinct, tokenizer), "pieces")
 
     small = F.octet_length("w") <= HEAD_BYTES
-    # The rank-th largest document frequency bounds the head; ties at the bound stay with the tail.
-    floor = counts.where(small).select("docs").orderBy(F.desc("docs")).offset(head).limit(1).first()
-    in_head = small & (F.col("docs") > F.lit(floor[0] if floor else 0))
+    floor = head_floor(counts.where(small), head)
+    in_head = small & (F.col("docs") >= F.lit(floor))
     top = F.broadcast(counts.where(in_head).select("w", "n"))
-    rows = per_doc.select("row_key", "doc_id", "n_bytes", F.explode_outer("words").alias("x")).select("row_key", "doc_id", "n_bytes", "x.w", "x.f")
-    summed = rows.join(top, "w", "left")
-    keys = ["row_key", "doc_id", "n_bytes"]
-    if floor is None and counts.where(~small).isEmpty():
-        total = summed.groupBy(*keys).agg(F.sum(F.col("f") * F.col("n")).alias("n_tokens"))
-    else:
-        # What the head has counted collapses to one row per document before the shuffle; its null word
-        # would meet in one task, so it takes a key that no pre-token has: NUL and the row's key.
-        missing = F.when(F.col("n").isNotNull() | F.col("w").isNull(), F.concat(F.lit("\0#"), F.col("row_key").cast("string"))).otherwise(F.col("w"))
-        partial = summed.groupBy(*keys, missing.alias("rest")).agg(F.sum("f").alias("f"), F.sum(F.col("f") * F.col("n")).alias("done"))
-        tail = counts.where(~in_head).select(F.col("w").alias("rest"), F.col("n").alias("m"))
-        total = partial.join(tail.hint("shuffle_hash"), "rest", "left").groupBy(*keys).agg(F.sum(F.coalesce(F.col("done"), F.col("f") * F.col("m"))).alias("n_tokens"))
+    rows = per_doc.select("row_key", F.explode("words").alias("x")).select("row_key", "x.w", "x.f")
+    # What the head has counted collapses to one row per document before the shuffle; its null word would
+    # meet in one task, so it takes a key that no pre-token has: NUL and the row's key.
+    rest = F.when(F.col("n").isNotNull(), F.concat(F.lit("\0#"), F.col("row_key").cast("string"))).otherwise(F.col("w"))
+    partial = rows.join(top, "w", "left").groupBy("row_key", rest.alias("rest")).agg(F.sum("f").alias("f"), F.sum(F.col("f") * F.col("n")).alias("done"))
+    tail = counts.where(~in_head).select(F.col("w").alias("rest"), F.col("n").alias("m"))
+    summed = partial.join(tail.hint("shuffle_hash"), "rest", "left").groupBy("row_key").agg(F.sum(F.coalesce(F.col("done"), F.col("f") * F.col("m"))).alias("n_tokens"))
+    total = per_doc.select("row_key", "doc_id", "n_bytes").join(summed, "row_key", "left")
     tokens = F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long")
     return total.select("doc_id", "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"))
