@@ -43,36 +43,69 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return labels.join(smallest, "root").select("node", "component")
 
 
-def link_buckets(banded: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_buckets(banded: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], fetch: Callable[[DataFrame], DataFrame], exact: Callable[[str, str], Column], rounds: int = 3) -> DataFrame:
     """Components of nodes that share a bucket and are confirmed to be alike, without pairing all of a bucket.
 
     banded: key, id (a row for each bucket a node is in). nodes: id and what ``near`` reads, one row each.
-    near(a, b): a cheap necessary condition on the nodes' columns with the prefixes a and b. confirm: pairs
-    a, b to those which are links.
-
-    First every member is paired with its bucket's smallest id, a star. Buckets whose members are then still
-    of different components pair these across components under ``near``, inside the join; so no candidate
-    link between two components goes untested, and members already linked are never paired.
+    near(a, b): a cheap necessary condition on the nodes' columns with the prefixes a and b. fetch: ids to
+    what ``exact`` reads of them, one row each. exact(a, b): whether the two are a link.
+
+    1. Each node is paired with one other: the smallest id that comes first in any of its buckets.
+    2. In buckets whose members are still of different components, the first member is paired with one
+       member of each other component, one pair for two components; ``rounds`` times, or until it links nothing.
+    3. What is left is settled exactly. A semi-join keeps the members with a plausible partner in another
+       component of their bucket; a join that holds all conditions, ``exact`` too, then gives links alone.
+       So no candidate link between two components goes untested, and no untested pair leaves a join.
     """
     columns = [c for c in nodes.columns if c != "id"]
 
     def side(name: str) -> DataFrame:
         return nodes.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
-    stars = banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where(F.col("a") != F.col("last")).select("key", "a")
-    members = materialise(banded.join(stars, "key").select("key", "a", F.col("id").alias("b")), "buckets")
-    pairs = members.where(F.col("a") != F.col("b")).select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-    tried = materialise(pairs.where(near("a_", "b_")).select("a", "b"), "pairs")
+    def confirm(pairs: DataFrame) -> DataFrame:
+        own = materialise(fetch(materialise(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "ids")), "fetched")
+        more = [c for c in own.columns if c != "id"]
+        sides = [own.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in more]) for name in ("a", "b")]
+        return pairs.join(sides[0], "a").join(sides[1], "b").where(exact("a_", "b_")).select("a", "b")
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(near("a_", "b_")).select("a", "b")
+
+    stars = banded.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") != F.col("last")).select("key", "first")
+    members = materialise(banded.join(stars, "key").select("key", "id", "first"), "buckets")
+    pairs = members.groupBy("id").agg(F.min("first").alias("a")).where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b"))
+    tried = materialise(plausible(pairs), "pairs")
     links = materialise(confirm(tried), "links")
     parts = materialise(connected_components(links), "parts")
 
-    whole = members.select("key", F.col("b").alias("id")).join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
-    mixed = whole.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where(F.col("p") != F.col("q")).select("key")
-    rows = materialise(whole.join(mixed, "key").select("key", "id", "part").join(nodes, "id"), "mixed")
-    left = rows.select("key", F.col("id").alias("a"), F.col("part").alias("p"), *[F.col(c).alias(f"a_{c}") for c in columns])
-    right = rows.select(F.col("key").alias("key_b"), F.col("id").alias("b"), F.col("part").alias("q"), *[F.col(c).alias(f"b_{c}") for c in columns])
-    across = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & near("a_", "b_"))
-    more = materialise(across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    if more.isEmpty():
+    def mixed() -> DataFrame:
+        """The members of buckets that hold different components: key, id, part, and the bucket's first."""
+        whole = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "first", F.coalesce("component", "id").alias("part"))
+        keys = whole.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where(F.col("p") != F.col("q")).select("key")
+        return materialise(whole.join(keys, "key"), "mixed")
+
+    rows = mixed()
+    for _ in range(rounds):
+        firsts = rows.where(F.col("id") == F.col("first")).select("key", F.col("part").alias("first_part"))
+        cross = rows.join(firsts, "key").where(F.col("part") != F.col("first_part"))
+        one = cross.groupBy(F.least("part", "first_part").alias("p"), F.greatest("part", "first_part").alias("q")).agg(F.min(F.struct("first", "id")).alias("x"))
+        fresh = materialise(plausible(one.select(F.col("x.first").alias("a"), F.col("x.id").alias("b"))).join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = materialise(confirm(fresh), "links")
+        tried = tried.unionAll(fresh)
+        if found.isEmpty():
+            break
+        links = links.unionAll(found)
+        parts = materialise(connected_components(links), "parts")
+        rows = mixed()
+
+    rows = materialise(rows.select("key", "id", "part").join(nodes, "id"), "mixed")
+    partner = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
+    named = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
+    across = (F.col("a_key") == F.col("b_key")) & (F.col("a_part") != F.col("b_part")) & near("a_", "b_")
+    left = materialise(named.join(partner, across, "left_semi").select(*[F.col(f"a_{c}").alias(c) for c in rows.columns]), "open")
+    if left.isEmpty():
         return parts
-    return materialise(connected_components(links.unionAll(confirm(more))), "parts")
+    full = materialise(left.join(materialise(fetch(materialise(left.select("id").distinct(), "ids")), "fetched"), "id"), "open")
+    named, partner = (full.select(*[F.col(c).alias(f"{name}_{c}") for c in full.columns]) for name in ("a", "b"))
+    found = named.join(partner, across & (F.col("a_id") < F.col("b_id")) & exact("a_", "b_")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return materialise(connected_components(links.unionAll(materialise(found.distinct(), "links"))), "parts")

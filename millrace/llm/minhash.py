@@ -4,11 +4,11 @@
    bitmap that holds, for every place, the parity of the samples hashed to it. The XOR of two sketches is
    the sketch of the samples in which they differ, so its population count estimates a high similarity
    closely: J = 1 + m / (4 k) * ln(1 - 2 z / m). Equal sets are collapsed to their smallest id.
-2. In each band bucket every member is paired with the bucket's smallest id (a star, not all pairs).
+2. Each text is paired with the smallest id that comes first in one of its band buckets, not with all.
 3. Pairs whose sizes or sketches rule the similarity out are dropped (the sketch bound lies ``margin`` below
-   the threshold, some six standard deviations); the others are confirmed on the full sets.
-4. Buckets that still hold members of different components pair these across components, within the join,
-   under the same bounds; pairs that pass are confirmed too. So no candidate link between different
+   the threshold, some five standard deviations); the others are confirmed on the full sets.
+4. Buckets that still hold members of different components pair these across components, first one pair
+   for two components, then, within the join and under the same bounds, all; those are confirmed too. So no candidate link between different
    components is left untested, while members that are already linked are never paired.
 
 With 32 bands of 6 rows a pair of similarity 0.8 shares no bucket with probability 6e-5, one of 0.85 with
@@ -41,7 +41,7 @@ from millrace.llm.words import SPACES, combine, mix, shingles, slices, words
 BANDS, ROWS, BITS = 32, 6, 512
 SAMPLES = BANDS * ROWS
 CHUNK = 2048
-MARGIN = 0.2
+MARGIN = 0.15
 
 _SEEDS = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64))
 _A, _B = (_SEEDS[:SAMPLES] | np.uint64(1))[:, None], _SEEDS[SAMPLES:][:, None]
@@ -100,16 +100,16 @@ def features(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
 
 
 def full_sets(texts: DataFrame, size: int) -> DataFrame:
-    """doc_id, text to doc_id, items: the whole set of each text."""
+    """id, text to id, items: the whole set of each text; of rows with one id, the largest set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, row, _ = words(part.column("text"), SPACES)
                 items = [s.view(np.int64) for s in shingles(hashes, row, part.num_rows, size)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "items"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(items, pa.list_(pa.int64()))], ["id", "items"])
 
-    return texts.mapInArrow(run, "doc_id long, items array<long>")
+    return texts.mapInArrow(run, "id long, items array<long>").groupBy("id").agg(F.max_by("items", F.size("items")).alias("items"))
 
 
 def _near(a: str, b: str, similarity: float, bound: int) -> Column:
@@ -119,14 +119,11 @@ def _near(a: str, b: str, similarity: float, bound: int) -> Column:
     return (100 * small >= round(100 * similarity) * large) & (z <= bound)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs a, b whose full sets reach the similarity."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = only(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), materialise(ids, "ids"), "doc_id")
-    sets = materialise(full_sets(texts, size), "sets")
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= round(100 * similarity) * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
+def _alike(a: str, b: str, similarity: float) -> Column:
+    """The full sets reach the similarity."""
+    x, y = F.col(f"{a}items"), F.col(f"{b}items")
+    both = F.size(F.array_intersect(x, y))
+    return 100 * both >= round(100 * similarity) * (F.size(x) + F.size(y) - both)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,11 +133,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     named = rows.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     groups = named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     nodes = materialise(groups, "nodes")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = link_buckets(
         nodes.select("id", F.explode("keys").alias("key")),
         nodes.select("id", "n", "sketch"),
         lambda a, b: _near(a, b, similarity, bound),
-        lambda pairs: confirm(pairs, docs, size, similarity, id_col, text_col),
+        lambda ids: full_sets(only(texts, ids, "id"), size),
+        lambda a, b: _alike(a, b, similarity),
     )
     owner = nodes.select("digest", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     component = F.coalesce("component_id", "doc_id")
