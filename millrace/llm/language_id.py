@@ -2,7 +2,7 @@
 
 Every letter has a random vector of +1 and -1. An n-gram's vector binds (multiplies) its letters' vectors,
 each permuted (rotated) by its place; a text's vector bundles (adds) its n-grams' vectors; a language's
-prototype bundles the texts of the training fold. A text gets the language whose prototype has the largest
+prototype bundles the texts of the training fold, of which none outweighs the others by its length. A text gets the language whose prototype has the largest
 cosine with it.
 
 Texts are lower-cased letter by letter; every run of other characters is one boundary mark, with a vector of
@@ -33,6 +33,8 @@ from millrace.llm.common import held_out
 OWN, OTHER = 0x250, 1024
 LETTERS = OWN + OTHER + 1
 SLICE = 128
+#: No training text weighs more than so many n-grams; weights are kept in so many parts of one.
+MOST, PARTS = 1000, 1024
 UNDETERMINED = "und"
 
 
@@ -109,6 +111,9 @@ def prototypes(train: DataFrame, text_col: str, lang_col: str, dim: int, n: int,
                 part = batch.slice(start, SLICE)
                 langs = np.array(part.column(1).to_pylist(), object)
                 row, code, count = ngram_counts(part.column(0).to_pylist(), n)
+                # A text weighs as much as MOST n-grams at most, in whole parts.
+                size = np.bincount(row, count, len(langs))[row] if len(row) else np.zeros(0)
+                count = np.rint(PARTS * count * np.minimum(1, MOST / np.maximum(size, 1)))
                 codes, at = np.unique(code, return_inverse=True)
                 vectors = ngram_vectors(codes, dim, n, seed).astype(np.float64)
                 for lang in set(langs):
