@@ -29,9 +29,9 @@ from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -40,10 +40,13 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import materialise
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 MARK = "▁"
 CHUNK, FAN, SLICE = 32_768, 64, 256
 #: Words and pairs of pieces that a worker remembers; then it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 _WORDS = re.compile(r" *[^ ]+| +")
 
 State = tuple[str, int]
@@ -122,9 +125,16 @@ class Codec:
                 yield text[at : at + n]
 
     def states(self, text: str, edge: int) -> list[State]:
-        """The states at an edge: pieces that begin before it and end at or behind it."""
+        """The states at an edge: pieces that begin before it and end at or behind it.
+
+        If a word begins a little before the edge, only what can follow from there; else all.
+        """
         if edge == 0:
             return [EDGE]
+        cut = self.cuts(text, 1, edge)
+        if cut:
+            reach = self.paths(text, {EDGE: 1}, cut[1], edge)
+            return [(piece, at - edge) for at in range(edge, edge + self.longest) for piece in reach.get(at, ())]
         found = []
         for start in range(max(0, edge - self.longest), edge):
             found += [(p, start + len(p) - edge) for p in self.arcs(text, start, len(text)) if start + len(p) >= edge]
@@ -309,6 +319,8 @@ def _combined(level: DataFrame) -> DataFrame:
     """FAN neighbours to one: row_key, i, m."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         rows = rows.sort_values("i")
         total = _unpack(rows.m.iloc[0])
         for cells in rows.m.iloc[1:]:
@@ -325,6 +337,8 @@ def _handed_down(level: DataFrame, above: DataFrame) -> DataFrame:
     """The edge states of each row of ``level``, from those of the groups above."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         rows = rows.sort_values("i")
         first = rows.iloc[0]
         entry, leave = (first.entry, int(first.entry_over)), (first.leave, int(first.leave_over))
