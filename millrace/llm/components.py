@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise
+from millrace.llm.common import BROADCAST_IDS, materialise
 
 
 def _rank(name: str) -> Column:
@@ -43,7 +43,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return labels.join(smallest, "root").select("node", "component")
 
 
-def link_buckets(banded: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], fetch: Callable[[DataFrame], DataFrame], exact: Callable[[str, str], Column], rounds: int = 3) -> DataFrame:
+def link_buckets(banded: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], fetch: Callable[[DataFrame], DataFrame], exact: Callable[[str, str], Column], rounds: int = 1) -> DataFrame:
     """Components of nodes that share a bucket and are confirmed to be alike, without pairing all of a bucket.
 
     banded: key, id (a row for each bucket a node is in). nodes: id and what ``near`` reads, one row each.
@@ -72,7 +72,8 @@ def link_buckets(banded: DataFrame, nodes: DataFrame, near: Callable[[str, str],
         return pairs.join(side("a"), "a").join(side("b"), "b").where(near("a_", "b_")).select("a", "b")
 
     stars = banded.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") != F.col("last")).select("key", "first")
-    members = materialise(banded.join(stars, "key").select("key", "id", "first"), "buckets")
+    stars = materialise(stars, "stars")
+    members = materialise(banded.join(F.broadcast(stars) if stars.count() <= BROADCAST_IDS else stars, "key").select("key", "id", "first"), "buckets")
     pairs = members.groupBy("id").agg(F.min("first").alias("a")).where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b"))
     tried = materialise(plausible(pairs), "pairs")
     links = materialise(confirm(tried), "links")
@@ -105,7 +106,10 @@ def link_buckets(banded: DataFrame, nodes: DataFrame, near: Callable[[str, str],
     left = materialise(named.join(partner, across, "left_semi").select(*[F.col(f"a_{c}").alias(c) for c in rows.columns]), "open")
     if left.isEmpty():
         return parts
-    full = materialise(left.join(materialise(fetch(materialise(left.select("id").distinct(), "ids")), "fetched"), "id"), "open")
+    # Each member knows its buckets, so that a pair is settled in the first it shares, and in no other.
+    own = materialise(left.groupBy("id").agg(F.collect_set("key").alias("keys")), "ids")
+    full = materialise(left.join(own, "id").join(materialise(fetch(own.select("id")), "fetched"), "id"), "open")
     named, partner = (full.select(*[F.col(c).alias(f"{name}_{c}") for c in full.columns]) for name in ("a", "b"))
-    found = named.join(partner, across & (F.col("a_id") < F.col("b_id")) & exact("a_", "b_")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    once = F.col("a_key") == F.array_min(F.array_intersect("a_keys", "b_keys"))
+    found = named.join(partner, across & (F.col("a_id") < F.col("b_id")) & once & exact("a_", "b_")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     return materialise(connected_components(links.unionAll(materialise(found.distinct(), "links"))), "parts")

@@ -1,0 +1,268 @@
+"""MinHash near-dedup, line dedup, decontamination and components against brute force."""
+
+from __future__ import annotations
+
+import itertools
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import decontaminate, line_dedup, minhash
+from millrace.llm.components import connected_components
+from millrace.llm.decontaminate import find_leaks
+from millrace.llm.line_dedup import dedup_lines
+from millrace.llm.minhash import near_duplicates
+from millrace.llm.words import ALPHANUMERIC, SPACES, words
+
+WORDS = [a + b for a in ("ta", "ri", "mo", "ne", "lu", "shi", "ká", "pe") for b in ("n", "sta", "ver", "k", "lo", "ü")]
+
+
+def closed(n, links):
+    """Smallest member reachable from each of n nodes."""
+    root = list(range(n))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(root[a], root[b])
+            changed |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+    return root
+
+
+def test_components(spark):
+    r = random.Random(3)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, 500 + i) for i in range(1, 50)] + [(7, 7)]
+    root = closed(600, edges)
+    found = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {v: root[v] for v in {x for e in edges if e[0] != e[1] for x in e}}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_words_of_slices():
+    texts = [None, "", " A é\tB", "x" * 70000 + " y", "\x00 \x0b", "end"]
+    column = pa.array(["skip me", *texts]).slice(1)
+    h, row, start = words(column, SPACES)
+    expected = [(i, m.start()) for i, t in enumerate(texts) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
+    assert list(zip(row.tolist(), start.tolist(), strict=True)) == expected
+    again, _, _ = words(pa.array(["a É b".lower(), "b"]), SPACES)
+    assert h[0] == again[0] and h[1] == again[1] and h[2] == again[2] == again[3]
+    assert words(pa.array(["a-b, 1"]), ALPHANUMERIC)[1].tolist() == [0, 0, 0] and len(words(pa.array([], pa.string()), SPACES)[0]) == 0
+
+
+def near_texts():
+    r = random.Random(5)
+    base = [[r.choice(WORDS) for _ in range(n)] for n in (60, 60, 120, 9)]
+    rows = []
+    for b in base:
+        for k in range(14):
+            own = list(b)
+            for _ in range(k // 3):
+                own[r.randrange(len(own))] = r.choice(WORDS) + "x"
+            rows.append(" ".join(own))
+    shared = " ".join(r.choice(WORDS) for _ in range(40))  # a passage that many share
+    rows += [shared + " " + " ".join(r.choice(WORDS) for _ in range(r.randrange(5, 60))) for _ in range(30)]
+    rows += ["", None, "one", "One", "one two three", " \t", "é É é É é", base and " ".join(base[0]).upper()]
+    return list(enumerate(rows)) + [(1000, "w " * 30000 + "end"), (1001, "w " * 30000 + "end"), (1001, "w " * 30000 + "end")]
+
+
+def shingle_set(text, size):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda c: c[0].lower(), text or ""))
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("size", [4, 5])
+def test_near_duplicates(spark, size):
+    rows = near_texts()
+    sets = [shingle_set(t, size) for _, t in rows]
+    links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    root = closed(len(rows), links)
+    frame = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n int, digest string").repartition(3)
+    found = near_duplicates(frame, size=size).collect()
+    expected = sorted((i, len(s), rows[root[k]][0], i == rows[root[k]][0]) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True)))
+    assert sorted(map(tuple, found)) == expected
+    assert near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_null_ids(spark):
+    found = near_duplicates(spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (None, "z")], "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in found), key=str) == [(4, 4, True), (None, 4, False), (None, None, True)]
+
+
+def test_odd_sketch_estimates_high_similarity():
+    r = np.random.default_rng(4)
+    common = r.integers(0, 1 << 63, 900).astype(np.uint64)
+    other = r.integers(0, 1 << 63, 200).astype(np.uint64)
+    x, y = np.concatenate([common, other[:100]]), np.concatenate([common, other[100:]])  # J = 900 / 1100
+    z = sum(int(a ^ b).bit_count() for a, b in zip(*(minhash.odd_sketch(minhash.minhash(s)).view(np.uint64).tolist() for s in (x, y)), strict=True))
+    estimate = 1 + minhash.BITS / (4 * minhash.SAMPLES) * np.log(1 - 2 * z / minhash.BITS)
+    assert abs(estimate - 900 / 1100) < 0.12
+    assert minhash.sketch_bound(1.0) == 0 and minhash.sketch_bound(0.6) > minhash.sketch_bound(0.8)
+
+
+# Lines
+
+
+def simhash(line):
+    import xxhash
+
+    own = set(line.split(" "))
+    count = [0] * 64
+    for w in own:
+        h = xxhash.xxh64_intdigest(w, seed=42)
+        for i in range(64):
+            count[i] += h >> i & 1
+    return sum(1 << line_dedup.place(i) for i in range(64) if 2 * count[i] > len(own))
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def line_docs():
+    r = random.Random(9)
+    long = [" ".join(r.choice(WORDS) for _ in range(r.randrange(30, 90))) for _ in range(12)]
+
+    def changed(line):
+        own = line.split(" ")
+        for _ in range(r.randrange(3)):
+            own[r.randrange(len(own))] = r.choice(WORDS)
+        return " ".join(own)
+
+    rows = []
+    for i in range(40):
+        rows.append((i, "\n".join([changed(r.choice(long)) if r.random() < 0.6 else " ".join(r.choice(WORDS) for _ in range(r.randrange(1, 12))), r.choice(["", "  ", "Foot\tnote", " foot note "]), r.choice(long).upper()])))
+    big = " ".join(WORDS * 400)
+    return rows + [(50, None), (51, ""), (52, "\n\n"), (53, "same\nsame"), (53, "same\nsame"), (54, big), (55, big + " end"), (None, "Foot note")]
+
+
+@pytest.mark.parametrize("most", [line_dedup.MOST_WORDS, 21])
+def test_line_dedup(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "MOST_WORDS", most) if most == line_dedup.MOST_WORDS else None
+    rows = line_docs()
+    occurrences: dict = {}
+    unique = list(dict.fromkeys(rows))
+    for i, t in sorted(unique, key=lambda x: (x[0] is not None, x[0] or 0)):
+        for place, line in enumerate((t or "").split("\n")):
+            norm = re.sub(r"\s+", " ", line.lower().strip())
+            if norm:
+                occurrences.setdefault(norm, []).append((i, t, place))
+    lines = list(occurrences)
+    hashes = [simhash(x) for x in lines]
+    links = []
+    for a, b in itertools.combinations(range(len(lines)), 2):
+        x, y = lines[a], lines[b]
+        if (hashes[a] ^ hashes[b]).bit_count() <= 3 and min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) - 1:
+            longest = max(len(x), len(y))
+            near = len(x) > 5000 or edits(x, y) <= 0.2 * longest + 1e-9
+            links += [(a, b)] if near else []
+    root = closed(len(lines), links)
+    order = {o: k for k, o in enumerate(o for own in occurrences.values() for o in own)}
+    rank = lambda o: (o[0] is not None, o[0] or 0, o[2])
+    groups: dict = {}
+    for k, line in enumerate(lines):
+        groups.setdefault(root[k], []).extend(occurrences[line])
+    kept = {min(own, key=rank) for own in groups.values()}
+    assert len(order) > len(kept) and links
+    frame = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, n int, key string").repartition(3)
+    found = dedup_lines(frame).collect()
+    expected = []
+    for i, t in rows:
+        parts = (t or "").split("\n")
+        left = [x for p, x in enumerate(parts) if not x.strip() or (i, t, p) in kept]
+        expected.append((i, None if t is None else "\n".join(left), 0 if t is None else len(parts), 0 if t is None else len(parts) - len(left)))
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in found), key=str) == sorted(expected, key=str)
+    assert set(found[0].asDict()) == {"doc_id", "text", "n", "key", "n_lines", "n_dropped"}
+    assert dedup_lines(frame.limit(0)).count() == 0
+
+
+def test_simhash_of_long_lines(spark):
+    lines = ["a", "a b", *(" ".join(f"w{i}" for i in range(n)) for n in (509, 510, 511, 1020, 1021, 3000)), " ".join(WORDS * 30), " ".join(WORDS[:7] * 73)]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id int, line string")
+    found = {r.id: r.hash % (1 << 64) for r in line_dedup.simhashed(frame).collect()}
+    assert found == {i: simhash(x) for i, x in enumerate(lines)}
+
+
+def test_line_dedup_runs_no_python(spark):
+    plan = dedup_lines(spark.createDataFrame([(1, "a\na")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_pigeonhole_keys(spark):
+    r = random.Random(1)
+    rows = []
+    for _ in range(200):
+        h = r.getrandbits(64)
+        g = h
+        for bit in r.sample(range(64), 3):
+            g ^= 1 << bit
+        rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (h, g)))
+    keys = [line_dedup.block_keys(F.col(c), line_dedup.BLOCKS, line_dedup.DISTANCE) for c in "ab"]
+    assert spark.createDataFrame(rows, "a long, b long").where(~F.arrays_overlap(*keys)).count() == 0
+
+
+# Decontamination
+
+
+def test_masks_miss_no_window():
+    for length, changed in [(8, 1), (9, 1), (10, 2), (11, 2), (12, 2), (13, 2), (14, 2), (15, 3), (16, 3)]:
+        assert changed == int(0.2 * length + 1e-9)
+        for gone in itertools.combinations(range(length), changed):
+            assert any(not any(at + p in gone for p in mask) for mask in decontaminate.MASKS for at in range(length - mask[-1]))
+
+
+def brute_leaks(rows, items):
+    cut = lambda t: re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", (t or ""))
+    low = lambda w: re.sub("[A-Z]", lambda c: c[0].lower(), w)
+    found = {}
+    for i, t in set(rows):
+        d = [low(w) for w in cut(t)]
+        for j, u in items:
+            b = [low(w) for w in cut(u)]
+            size = min(len(b), 16)
+            if len(b) < 8:
+                continue
+            for x in range(-15, len(d)):
+                for y in range(len(b) - size + 1):
+                    n = sum(0 <= x + k < len(d) and d[x + k] == b[y + k] for k in range(size))
+                    if 5 * n >= 4 * size:
+                        found[i, j] = max(found.get((i, j), 0), n)
+    return found
+
+
+def test_leaks(spark):
+    r = random.Random(11)
+    items = [(j, " ".join(r.choice(WORDS) for _ in range(n))) for j, n in enumerate((30, 16, 15, 12, 10, 9, 8, 7, 3))] + [(20, None), (21, "")]
+    items.append((22, items[0][1]))
+    rows = []
+    for i in range(120):
+        own = [r.choice(WORDS) for _ in range(r.randrange(0, 25))]
+        passage = r.choice(items[:9])[1].split()
+        for _ in range(r.randrange(0, 5)):
+            passage[r.randrange(len(passage))] = r.choice(WORDS)
+        if r.random() < 0.7:
+            own[r.randrange(len(own) + 1) : 0] = passage[: r.randrange(6, 40)]
+        rows.append((i, (" " if i % 2 else ", \n").join(w.title() if i % 3 else w for w in own)))
+    rows += [(200, None), (201, ""), (202, items[0][1]), (202, items[0][1]), (203, "x " * 40000 + items[1][1])]
+    frame = spark.createDataFrame([(i, t, 1, "h") for i, t in rows], "doc_id long, text string, at int, hash string").repartition(3)
+    bench = spark.createDataFrame([(j, u, 5) for j, u in items], "item_id long, text string, doc_id int")
+    found = find_leaks(frame, bench).collect()
+    expected = brute_leaks([x for x in rows if x[0] != 203], items) | {(203, 1): 16}
+    assert len(expected) > 40 and {(x.doc_id, x.item_id): x.n_equal for x in found} == expected and len(found) == len(expected)
+    assert find_leaks(frame.limit(0), bench).count() == 0 == find_leaks(frame, bench.limit(0)).count()
+
+
+def test_leaks_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_HASHES", 0)
+    text = " ".join(WORDS[:20])
+    found = find_leaks(spark.createDataFrame([(1, "Und " + text)], "doc_id long, text string"), spark.createDataFrame([(5, text)], "item_id long, text string")).collect()
+    assert [tuple(r) for r in found] == [(1, 5, 16, 16, 1, 0)]
