@@ -14,7 +14,7 @@ from millrace.llm.html_extract import extract_text
 from millrace.llm.language_id import identify_languages
 from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.minhash import near_duplicates
-from millrace.llm.sentencepiece_codec import decode_documents, encode_documents
+from millrace.llm.sentencepiece_codec import encode_documents
 from millrace.llm.token_count import count_tokens
 from millrace.llm.toxicity import score_toxicity, train_toxicity
 from millrace.llm.url_filter import filter_urls
@@ -44,11 +44,8 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
-    # The text's hash stands for it in the comparison, so that it needn't pass through the decoder.
-    spaced = F.xxhash64(F.translate(F.coalesce("text", F.lit("")), "\u2581", " "))
-    coded = encode_documents(table(spark, sf_dir, "documents"), model).select("doc_id", "n_chunks", "ids", spaced.alias("hash"))
-    same = F.xxhash64("decoded") == F.col("hash")
-    return decode_documents(coded, model).select("doc_id", "n_chunks", F.size("ids").alias("n_tokens"), "ids", same.alias("round_trip"))
+    coded = encode_documents(table(spark, sf_dir, "documents"), model, round_trip=True)
+    return coded.select("doc_id", "n_chunks", F.size("ids").alias("n_tokens"), "ids", "round_trip")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,6 +230,15 @@ class Codec:
             self._spelled = pa.array([spell(i) for i in range(size)], pa.binary())
         return self._spelled
 
+    def decode(self, lists: pa.Array) -> list[str]:
+        """The texts that lists of ids stand for, without the space in front."""
+        ids = pc.fill_null(lists, [])
+        spans = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))])
+        flat = self.spelled.take(ids.flatten())
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False))])[spans]
+        whole = flat.buffers()[2].to_pybytes() if flat.buffers()[2] is not None else b""
+        return [whole[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(ends, ends[1:], strict=False)]
+
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
@@ -279,22 +288,28 @@ def _row_keys(start: int, n: int) -> pa.Array:
     return pa.array(range(start, start + n), pa.int64())
 
 
-def _encode_short(docs: DataFrame, model: str, keep: str) -> DataFrame:
+def _encode_short(docs: DataFrame, model: str, round_trip: bool) -> DataFrame:
+    kind = dict(docs.dtypes)["doc_id"]
+    names = ["doc_id", "n_chunks", "ids", "round_trip"][: 4 if round_trip else 3]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
-                flat, offsets = array("i"), [0]
+                flat, offsets, texts = array("i"), [0], []
                 for text in part.column("text").to_pylist():
+                    texts.append((text or "").replace(MARK, " "))
                     if text:
-                        flat.extend(own.encode_marked(" " + text.replace(MARK, " ")))
+                        flat.extend(own.encode_marked(" " + texts[-1]))
                     offsets.append(len(flat))
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)))
-                columns = [*(part.column(c) for c in part.schema.names), pa.array(np.ones(part.num_rows, np.int32)), ids]
-                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "n_chunks", "ids"])
+                columns = [part.column("doc_id"), pa.array(np.ones(part.num_rows, np.int32)), ids]
+                if round_trip:
+                    columns.append(pa.array([a == b for a, b in zip(own.decode(ids), texts, strict=True)]))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, f"{keep}, n_chunks int, ids array<int>")
+    return docs.mapInArrow(run, f"doc_id {kind}, n_chunks int, ids array<int>" + ", round_trip boolean" * round_trip)
 
 
 def _chunked(giants: DataFrame, model: str, chunk: int) -> DataFrame:
@@ -395,17 +410,19 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"row_key long, {fields}")
 
 
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """One row per document: doc_id, text, n_chunks, ids. model: a SentencePiece BPE .model file."""
+def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, round_trip: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_chunks, ids; with ``round_trip`` also whether the ids decode to the text
+    (marks as spaces). model: a SentencePiece BPE .model file."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
     large = F.coalesce(F.length("text"), F.lit(0)) >= chunk
-    short = _encode_short(rows.where(~large), model, f"doc_id {kind}, text string")
+    short = _encode_short(rows.where(~large), model, round_trip)
     giants = materialise(_numbered(rows.where(large)), "giants")
     if giants.isEmpty():
         return short
-    ids = _encode_giants(giants, model, chunk)
-    return short.unionByName(giants.join(ids, "row_key").select("doc_id", "text", "n_chunks", "ids"))
+    ids = giants.join(_encode_giants(giants, model, chunk), "row_key").select("doc_id", "n_chunks", "ids", F.xxhash64(F.translate("text", MARK, " ")).alias("hash"))
+    if round_trip:
+        return short.unionByName(decode_documents(ids, model).select("doc_id", "n_chunks", "ids", (F.xxhash64("decoded") == F.col("hash")).alias("round_trip")))
+    return short.unionByName(ids.drop("hash"))
 
 
 def decode_documents(encoded: DataFrame, model: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -413,16 +430,11 @@ def decode_documents(encoded: DataFrame, model: str, ids_col: str = "ids", out_c
     fields = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = codec(model).spelled
+        decode = codec(model).decode
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
-                ids = pc.fill_null(part.column(ids_col), [])
-                spans = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))])
-                flat = spelled.take(ids.flatten())
-                ends = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False))])[spans]
-                whole = b"".join(flat.to_pylist()) if flat.buffers()[2] is None else flat.buffers()[2].to_pybytes()
-                texts = [whole[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(ends, ends[1:], strict=False)]
+                texts = decode(part.column(ids_col))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out_col])
 
     return encoded.mapInArrow(run, f"{fields}, `{out_col}` string")
