@@ -57,6 +57,8 @@ DIALECT: dict[str, tuple[str, list[str], str]] = {
     "q16_fraction_bound": ("SELECT p_partkey, p_size FROM part WHERE p_size > -1.5 AND p_size < 3.5 AND p_size != 2.5", ["p_partkey", "p_size"], "SELECT p_partkey, p_size FROM part WHERE p_size > -1.5 AND p_size < 3.5"),
     "q17_merged_equality": ("SELECT p_partkey FROM part WHERE p_size >= 7 AND 7 >= p_size AND p_partkey < 500", ["p_partkey"], "SELECT p_partkey FROM part WHERE p_size = 7 AND p_partkey < 500"),
     "q18_timestamp_passthrough": ("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey < 50", ["o_orderkey", "o_orderdate"], "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey < 50"),
+    "q88_merged_equality_whole": ("SELECT p_partkey FROM part WHERE p_size >= 7 AND 7 >= p_size", ["p_partkey"], "SELECT p_partkey FROM part WHERE p_size = 7"),
+    "q89_timestamp_whole": ("SELECT o_orderkey, o_orderdate FROM orders", ["o_orderkey", "o_orderdate"], "SELECT o_orderkey, o_orderdate FROM orders"),
     "q23_min_max_string": (
         "SELECT c_nationkey, MIN(c_mktsegment), MAX(c_name) FROM customer GROUP BY c_nationkey",
         ["c_nationkey", "min_segment", "max_name"],
