@@ -1,9 +1,10 @@
-"""Connected components by contraction, with DataFrame operations alone.
+"""Connected components by contraction, and links within buckets, with DataFrame operations alone.
 
 Every node moves to the neighbour (or itself) that comes first in a hashed order; edges are then rewritten
 to the nodes moved to, and loops and repeats dropped, until no edge is left. Each round shrinks a star to
-one node and a path by a constant factor. Rounds are written to the shared folder, nothing is gathered on
-the driver. All sums over a node's edges combine before the shuffle, and joins on a hub's key can be split.
+one node and a path by a constant factor. Rounds are written to the shared folder and removed once the next
+is written; nothing is gathered on the driver. All sums over a node's edges combine before the shuffle, and
+joins on a hub's key read written tables, so that Spark can split them.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BROADCAST_IDS, materialise
+from millrace.llm.common import BROADCAST_IDS, materialise, release
 
 
 def _rank(name: str) -> Column:
@@ -22,94 +23,133 @@ def _rank(name: str) -> Column:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: a, b of one type, in any order; loops and repeats allowed. Returns node, component for every
-    node with an edge to another; component is the component's smallest node."""
+    node with an edge to another, as a written table; component is the component's smallest node."""
     live = materialise(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels: DataFrame | None = None
     while not live.isEmpty():
         both = live.select("a", "b").unionAll(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         moves = materialise(both.groupBy("a").agg(F.min(_rank("b")).alias("n")).select(F.col("a").alias("node"), F.least(_rank("a"), F.col("n"))["id"].alias("to")), "moves")
         if labels is None:
-            labels = moves.select("node", F.col("to").alias("root"))
+            labels = materialise(moves.select("node", F.col("to").alias("root")), "labels")
         else:
-            step = moves.select(F.col("node").alias("root"), "to")
-            labels = labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        labels = materialise(labels, "labels")
+            step, old = moves.select(F.col("node").alias("root"), "to"), labels
+            labels = materialise(old.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+            release(old)
         at_a, at_b = moves.select(F.col("node").alias("a"), F.col("to").alias("x")), moves.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        moved = live.join(at_a, "a").join(at_b, "b").where(F.col("x") != F.col("y"))
+        moved, old = live.join(at_a, "a").join(at_b, "b").where(F.col("x") != F.col("y")), live
         live = materialise(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        release(old, moves)
     if labels is None:
-        return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    smallest = labels.groupBy("root").agg(F.min("node").alias("component"))
-    return labels.join(smallest, "root").select("node", "component")
+        return materialise(live.select(F.col("a").alias("node"), F.col("b").alias("component")), "parts")
+    # Both sides of the last join are written tables: a component of any size can be split.
+    smallest = materialise(labels.groupBy("root").agg(F.min("node").alias("component")), "smallest")
+    parts = materialise(labels.join(smallest, "root").select("node", "component"), "parts")
+    release(live, labels, smallest)
+    return parts
 
 
-def link_buckets(banded: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], fetch: Callable[[DataFrame], DataFrame], exact: Callable[[str, str], Column], rounds: int = 1) -> DataFrame:
+def link_buckets(banded: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], fetch: Callable[[DataFrame], DataFrame], exact: Callable[[str, str], Column], enough: Callable[[str, str, Column], Column] | None = None, rounds: int = 1) -> DataFrame:
     """Components of nodes that share a bucket and are confirmed to be alike, without pairing all of a bucket.
 
     banded: key, id (a row for each bucket a node is in). nodes: id and what ``near`` reads, one row each.
-    near(a, b): a cheap necessary condition on the nodes' columns with the prefixes a and b. fetch: ids to
-    what ``exact`` reads of them, one row each. exact(a, b): whether the two are a link.
-
-    1. Each node is paired with one other: the smallest id that comes first in any of its buckets.
-    2. In buckets whose members are still of different components, the first member is paired with one
-       member of each other component, one pair for two components; ``rounds`` times, or until it links nothing.
-    3. What is left is settled exactly. A semi-join keeps the members with a plausible partner in another
+    near(a, b): a cheap necessary condition on the nodes' columns with the prefixes a and b; it is tested inside
+    the joins, so that pairs it rules out never leave them. fetch: ids to what ``exact`` reads of them, one row
+    each. exact(a, b): whether the two are a link. enough(a, b, n): whether n buckets in common are enough for the
+    two to be tested (a second condition on the nodes' columns); one is, if it is not given.
+
+    1. Each node is paired with the smallest id that comes first in one of its buckets and is near.
+    2. In buckets whose members are still of different components, the first member is paired with near
+       members of other components, one pair for two components; ``rounds`` times, or until it links nothing.
+    3. What is left is settled exactly. A semi-join keeps the members with a near partner in another
        component of their bucket; a join that holds all conditions, ``exact`` too, then gives links alone.
-       So no candidate link between two components goes untested, and no untested pair leaves a join.
+       So no near pair of two components (with enough in common) goes untested, and no untested pair leaves a join.
     """
     columns = [c for c in nodes.columns if c != "id"]
-
-    def side(name: str) -> DataFrame:
-        return nodes.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+    known: list[DataFrame] = []  # what has been fetched, in parts
+
+    def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+        """``rows`` with the prefix ``name`` on all columns but the key."""
+        return rows.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ["id", *more, *columns]])
+
+    def fetched(ids: DataFrame) -> DataFrame:
+        """What ``exact`` reads of at least these ids; each is fetched once."""
+        for part in known:
+            ids = ids.join(part.select("id"), "id", "left_anti")
+        ids = materialise(ids, "ids")
+        if not known or not ids.isEmpty():
+            known.append(materialise(fetch(ids), "fetched"))
+        release(ids)
+        whole = known[0]
+        for part in known[1:]:
+            whole = whole.unionAll(part)
+        return whole
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        own = materialise(fetch(materialise(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "ids")), "fetched")
+        """The pairs that are links, as a written table."""
+        own = fetched(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
         more = [c for c in own.columns if c != "id"]
         sides = [own.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in more]) for name in ("a", "b")]
-        return pairs.join(sides[0], "a").join(sides[1], "b").where(exact("a_", "b_")).select("a", "b")
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(near("a_", "b_")).select("a", "b")
+        return materialise(pairs.join(sides[0], "a").join(sides[1], "b").where(exact("a_", "b_")).select("a", "b"), "links")
 
     stars = banded.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") != F.col("last")).select("key", "first")
     stars = materialise(stars, "stars")
-    members = materialise(banded.join(F.broadcast(stars) if stars.count() <= BROADCAST_IDS else stars, "key").select("key", "id", "first"), "buckets")
-    pairs = members.groupBy("id").agg(F.min("first").alias("a")).where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b"))
-    tried = materialise(plausible(pairs), "pairs")
-    links = materialise(confirm(tried), "links")
-    parts = materialise(connected_components(links), "parts")
+    members = materialise(banded.join(F.broadcast(stars) if stars.count() <= BROADCAST_IDS else stars, "key").join(nodes, "id").select("key", "id", "first", *columns), "buckets")
+    release(stars)
+    firsts = side(members.where(F.col("id") == F.col("first")), "a")
+    pairs = side(members.where(F.col("id") != F.col("first")), "b").join(firsts, "key").where(near("a_", "b_"))
+    if enough:
+        values = [f"{name}_{c}" for name in ("a", "b") for c in columns]
+        pairs = pairs.groupBy("a_id", "b_id", *values).agg(F.count(F.lit(1)).alias("shared")).where(enough("a_", "b_", F.col("shared")))
+    pairs = pairs.groupBy(F.col("b_id").alias("b")).agg(F.min("a_id").alias("a"))
+    tried = materialise(pairs.select("a", "b"), "pairs")
+    links = confirm(tried)
+    parts = connected_components(links)
 
     def mixed() -> DataFrame:
-        """The members of buckets that hold different components: key, id, part, and the bucket's first."""
-        whole = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "first", F.coalesce("component", "id").alias("part"))
-        keys = whole.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where(F.col("p") != F.col("q")).select("key")
-        return materialise(whole.join(keys, "key"), "mixed")
+        """The members of buckets that hold different components: key, id, part, first and what ``near`` reads."""
+        whole = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "first", F.coalesce("component", "id").alias("part"), *columns)
+        keys = materialise(whole.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where(F.col("p") != F.col("q")).select("key"), "keys")
+        rows = materialise(whole.join(keys, "key"), "mixed")
+        release(keys)
+        return rows
 
     rows = mixed()
     for _ in range(rounds):
-        firsts = rows.where(F.col("id") == F.col("first")).select("key", F.col("part").alias("first_part"))
-        cross = rows.join(firsts, "key").where(F.col("part") != F.col("first_part"))
-        one = cross.groupBy(F.least("part", "first_part").alias("p"), F.greatest("part", "first_part").alias("q")).agg(F.min(F.struct("first", "id")).alias("x"))
-        fresh = materialise(plausible(one.select(F.col("x.first").alias("a"), F.col("x.id").alias("b"))).join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = materialise(confirm(fresh), "links")
+        firsts = side(rows.where(F.col("id") == F.col("first")), "a", "part")
+        cross = side(rows, "b", "part").join(firsts, "key").where((F.col("a_part") != F.col("b_part")) & near("a_", "b_"))
+        one = cross.groupBy(F.least("a_part", "b_part").alias("p"), F.greatest("a_part", "b_part").alias("q")).agg(F.min(F.struct(F.col("a_id").alias("a"), F.col("b_id").alias("b"))).alias("x"))
+        fresh = materialise(one.select("x.a", "x.b").join(tried, ["a", "b"], "left_anti"), "pairs")
+        if fresh.isEmpty():
+            break
+        found = confirm(fresh)
         tried = tried.unionAll(fresh)
         if found.isEmpty():
             break
         links = links.unionAll(found)
-        parts = materialise(connected_components(links), "parts")
+        old, parts = (parts, rows), connected_components(links)
         rows = mixed()
-
-    rows = materialise(rows.select("key", "id", "part").join(nodes, "id"), "mixed")
-    partner = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
-    named = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
-    across = (F.col("a_key") == F.col("b_key")) & (F.col("a_part") != F.col("b_part")) & near("a_", "b_")
-    left = materialise(named.join(partner, across, "left_semi").select(*[F.col(f"a_{c}").alias(c) for c in rows.columns]), "open")
+        release(*old)
+    release(members)
+
+    across = (F.col("a_part") != F.col("b_part")) & near("a_", "b_")
+    named, partner = (rows.select(*[F.col(c).alias(f"{name}_{c}") for c in rows.columns]) for name in ("a", "b"))
+    open_rows = named.join(partner, (F.col("a_key") == F.col("b_key")) & across, "left_semi")
+    left = materialise(open_rows.select(*[F.col(f"a_{c}").alias(c) for c in ["key", "id", "part", *columns]]), "open")
+    release(rows)
     if left.isEmpty():
+        release(left, *known)
         return parts
     # Each member knows its buckets, so that a pair is settled in the first it shares, and in no other.
     own = materialise(left.groupBy("id").agg(F.collect_set("key").alias("keys")), "ids")
-    full = materialise(left.join(own, "id").join(materialise(fetch(own.select("id")), "fetched"), "id"), "open")
+    full = materialise(left.join(own, "id").join(fetched(own.select("id")), "id"), "open")
+    release(left, own)
     named, partner = (full.select(*[F.col(c).alias(f"{name}_{c}") for c in full.columns]) for name in ("a", "b"))
-    once = F.col("a_key") == F.array_min(F.array_intersect("a_keys", "b_keys"))
-    found = named.join(partner, across & (F.col("a_id") < F.col("b_id")) & once & exact("a_", "b_")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    return materialise(connected_components(links.unionAll(materialise(found.distinct(), "links"))), "parts")
+    shared = F.array_intersect("a_keys", "b_keys")
+    once = F.col("a_key") == F.array_min(shared)
+    if enough:
+        once = once & enough("a_", "b_", F.size(shared))
+    same = F.col("a_key") == F.col("b_key")
+    found = named.join(partner, same & across & (F.col("a_id") < F.col("b_id")) & once & exact("a_", "b_")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    links = links.unionAll(materialise(found.distinct(), "links"))
+    release(full, parts, *known)
+    return connected_components(links)
