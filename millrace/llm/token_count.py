@@ -13,7 +13,7 @@ frequencies of the others travel to an equi-join.
 Cutting: texts made of the plain characters of ``_PLAIN`` are cut by one compiled pattern, for which the
 tokenizer's normaliser reduces to lower-casing (tested against it); any other text goes through the
 tokenizer's own normaliser and pre-tokenizer. Added special tokens in a text count one token each, as the
-library has it.
+library has it; they are counted beside the pre-tokens.
 
 Defined results: null and empty texts have no bytes and no tokens; repeated rows each keep their row; an
 empty table gives an empty result; columns besides id and text are ignored.
@@ -44,11 +44,7 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
 class Cutter:
-    """Cuts texts into pre-tokens and counts their pieces, for a lower-casing BPE with word ends.
-
-    A pre-token is kept as text; one that stands for an added token is kept with a leading NUL, which
-    no plain pre-token has.
-    """
+    """Cuts texts into pre-tokens and counts their pieces, for a lower-casing BPE with word ends."""
 
     def __init__(self, path: str) -> None:
         import regex
@@ -62,22 +58,20 @@ class Cutter:
         self.plain = regex.compile(_PLAIN)
         self.pattern = regex.compile(_PATTERN)
 
-    def cut(self, text: str) -> Counter[str]:
+    def cut(self, text: str) -> tuple[Counter[str], int]:
+        """The text's pre-tokens with their frequencies, and the number of added tokens in it."""
         if self.plain.fullmatch(text) and not any(a in text for a in self.added):
-            return Counter(self.pattern.findall(text.lower()))
+            return Counter(self.pattern.findall(text.lower())), 0
         found: Counter[str] = Counter()
-        for i, part in enumerate(self.split.split(text) if self.split else [text]):
-            if i % 2:
-                found["\0" + part] += 1
-            elif part:
+        parts = self.split.split(text) if self.split else [text]
+        for part in parts[::2]:
+            if part:
                 normal = self.tokenizer.normalizer.normalize_str(part)
                 found.update(normal[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal))
-        return found
+        return found, len(parts) // 2
 
     def pieces(self, words: list[str]) -> list[int]:
-        plain = [w for w in words if not w.startswith("\0")]
-        counts = dict(zip(plain, (len(e.ids) for e in self.tokenizer.encode_batch(plain, add_special_tokens=False)), strict=True))
-        return [counts.get(w, 1) for w in words]
+        return [len(e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=2)
@@ -88,11 +82,11 @@ def cutter(path: str) -> Cutter:
     return Cutter(path)
 
 
-_FREQUENCIES = "row_key long, doc_id long, n_bytes long, words array<struct<w: string, f: int>>"
+_FREQUENCIES = "row_key long, doc_id long, n_bytes long, n_added long, words array<struct<w: string, f: int>>"
 
 
 def frequencies(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: a key of its own, doc_id, n_bytes and its pre-tokens with frequencies."""
+    """One row per document: a key of its own, doc_id, n_bytes, its number of added tokens, and its pre-tokens with frequencies."""
     kind = pa.list_(pa.struct([("w", pa.string()), ("f", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,9 +94,10 @@ def frequencies(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
-                offsets, words, counts, sizes = [0], [], [], []
+                offsets, words, counts, sizes, added = [0], [], [], [], []
                 for text in part.column(1).to_pylist():
-                    found = cut(text or "")
+                    found, n_added = cut(text or "")
+                    added.append(n_added)
                     words += found.keys()
                     counts += found.values()
                     offsets.append(len(words))
@@ -111,7 +106,7 @@ def frequencies(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
                 keys = pa.array(range(row, row + part.num_rows), pa.int64())
                 row += part.num_rows
                 listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs).cast(kind)
-                yield pa.RecordBatch.from_arrays([keys, part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), listed], ["row_key", "doc_id", "n_bytes", "words"])
+                yield pa.RecordBatch.from_arrays([keys, part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(added, pa.int64()), listed], ["row_key", "doc_id", "n_bytes", "n_added", "words"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _FREQUENCIES)
 
@@ -151,12 +146,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     in_head = small & (F.col("docs") >= F.lit(floor))
     top = F.broadcast(counts.where(in_head).select("w", "n"))
     rows = per_doc.select("row_key", F.explode("words").alias("x")).select("row_key", "x.w", "x.f")
-    # What the head has counted collapses to one row per document before the shuffle; its null word would
-    # meet in one task, so it takes a key that no pre-token has: NUL and the row's key.
-    rest = F.when(F.col("n").isNotNull(), F.concat(F.lit("\0#"), F.col("row_key").cast("string"))).otherwise(F.col("w"))
-    partial = rows.join(top, "w", "left").groupBy("row_key", rest.alias("rest")).agg(F.sum("f").alias("f"), F.sum(F.col("f") * F.col("n")).alias("done"))
-    tail = counts.where(~in_head).select(F.col("w").alias("rest"), F.col("n").alias("m"))
-    summed = partial.join(tail.hint("shuffle_hash"), "rest", "left").groupBy("row_key").agg(F.sum(F.coalesce(F.col("done"), F.col("f") * F.col("m"))).alias("n_tokens"))
-    total = per_doc.select("row_key", "doc_id", "n_bytes").join(summed, "row_key", "left")
-    tokens = F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long")
+    # What the head has counted collapses to one row per document before the shuffle. Its null word would meet
+    # in one task, so the row's key stands for it, told from words by a column of its own.
+    done = F.col("n").isNotNull()
+    rest = F.when(done, F.col("row_key").cast("string")).otherwise(F.col("w"))
+    partial = rows.join(top, "w", "left").groupBy("row_key", done.alias("head"), rest.alias("rest")).agg(F.sum("f").alias("f"), F.sum(F.col("f") * F.col("n")).alias("done"))
+    tail = counts.where(~in_head).select(F.lit(False).alias("head"), F.col("w").alias("rest"), F.col("n").alias("m"))
+    summed = partial.join(tail.hint("shuffle_hash"), ["head", "rest"], "left").groupBy("row_key").agg(F.sum(F.coalesce(F.col("done"), F.col("f") * F.col("m"))).alias("n_tokens"))
+    total = per_doc.select("row_key", "doc_id", "n_bytes", "n_added").join(summed, "row_key", "left")
+    tokens = (F.coalesce(F.col("n_tokens"), F.lit(0)) + F.col("n_added")).cast("long")
     return total.select("doc_id", "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"))

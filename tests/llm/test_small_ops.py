@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import hashlib
 import re
 import zlib
@@ -184,3 +185,18 @@ def test_noisy_or():
     assert noisy_or([]) == 0 and noisy_or([0.5, 0.5]) == pytest.approx(0.75) and noisy_or([1.0]) == pytest.approx(1)
     bags = toxicity.bags(["A b. c", None, ""])
     assert bags.doc.tolist() == [0, 0] and len(set(bags.sentence.tolist())) == 2
+
+
+def test_token_counts_of_odd_characters(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    cutter, r, odd = Cutter(path), random.Random(3), []
+    for _ in range(4000):
+        odd.append("".join(chr(r.randrange(0x3000)) if r.random() < 0.3 else r.choice("\0\0.,;:!?#'\"()<|>-_ ") if r.random() < 0.6 else r.choice(["aZé1", "<|startoftext|>"]) for _ in range(r.randrange(1, 12))))
+    expected = [len(e.ids) for e in cutter.tokenizer.encode_batch(odd, add_special_tokens=False)]
+    for text, n in zip(odd, expected, strict=True):
+        found, added = cutter.cut(text)
+        assert added + sum(f * m for f, m in zip(found.values(), cutter.pieces(list(found)), strict=True)) == n
+    rows = [(0, "\0."), (1, "\0. hi"), (2, "\0#2"), (3, "<|startoftext|>\0#"), *((i + 4, t) for i, t in enumerate(odd[:300]))]
+    for head in (1 << 18, 3):
+        found = {x.doc_id: x.n_tokens for x in count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, head=head).collect()}
+        assert found == {i: len(cutter.tokenizer.encode(t, add_special_tokens=False).ids) for i, t in rows}
