@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.table import union_distinct
+from millrace.operators.table import empty, merge_sorted, union_distinct
 from millrace.plans.parser import parse
 from millrace.session import Engine
+from millrace.sources.catalog import Catalog
+from millrace.sources.textio import format_records, parse_records
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -198,8 +200,102 @@ def q55_composite_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("s_nationkey", "s_suppkey")
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    """The rows of a result with their place in it, to hold the order against SQL's: one task numbers them, as only a check of order needs."""
+    return rows.coalesce(1).withColumn("place", F.monotonically_increasing_id())
+
+
+def q33_boolean_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = Engine(spark)
+    own.register("stock", spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_size") > 25).alias("large")))
+    return own.sql("SELECT p_partkey FROM stock WHERE large AND NOT (p_partkey < 10)")
+
+
+def q34_aggregate_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = engine(spark, sf_dir, "lineitem").sql("SELECT MIN(l_linestatus), MIN(l_returnflag), MAX(l_linenumber), COUNT(*) FROM lineitem")
+    return found.toDF("first_status", "first_flag", "most_lines", "n")
+
+
+def q35_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = Engine(spark)
+    sizes = F.when(F.col("p_size") != 7, F.col("p_size"))
+    own.register("sizes", spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", sizes.alias("size")))
+    return own.sql("SELECT p_partkey FROM sizes WHERE size != 3.5 AND NOT (size < 2 AND size > 3)")
+
+
+def q36_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(engine(spark, sf_dir, "customer").sql("SELECT c_nationkey, c_custkey FROM customer ORDER BY c_nationkey, c_custkey"))
+
+
+def q37_ordered_by_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = engine(spark, sf_dir, "orders").sql("SELECT o_custkey, COUNT(o_orderkey) FROM orders GROUP BY o_custkey ORDER BY COUNT(o_orderkey), o_custkey")
+    return _ranked(found.toDF("o_custkey", "n"))
+
+
+def q56_merge_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = engine(spark, sf_dir, "nation", "region")
+    nations = own.sql("SELECT n_regionkey FROM nation").toDF("k")
+    return _ranked(merge_sorted(nations, own.sql("SELECT r_regionkey FROM region").toDF("k"), "k"))
+
+
+def q57_delete_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = engine(spark, sf_dir, "supplier").table("supplier")
+    return suppliers.delete(suppliers.search(right={"s_suppkey": 7}).select("s_suppkey"))[1]
+
+
+def q58_text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as text records and read again, with bars, quotes and line feeds in the texts."""
+    own = engine(spark, sf_dir, "part")
+    awkward = own.sql("SELECT p_partkey, p_name FROM part").withColumn("p_name", F.concat(F.lit('|"'), F.col("p_name"), F.lit("\n\\p|")))
+    table = own.register("awkward", awkward).definition
+    return parse_records(format_records(awkward, table), table, strict=True)
+
+
+def q59_empty_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table emptied, then given rows again by another load."""
+    regions = engine(spark, sf_dir, "region").table("region")
+    return empty(regions.definition, regions.rows).load(regions.rows).insert(regions.rows).rows
+
+
+def q60_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query through a catalog that was turned to JSON's types and back."""
+    first = engine(spark, sf_dir, "nation")
+    own = Engine(spark, Catalog.from_dict(first.catalog.to_dict()))
+    own.read("nation", f"{sf_dir}/nation.parquet")
+    return own.sql("SELECT n_regionkey, COUNT(n_nationkey) FROM nation GROUP BY n_regionkey").toDF("n_regionkey", "n")
+
+
+def q61_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = Engine(spark)
+    texts = ["7 / 2 + 1", "-7 % 4", "2.5 * 4", "3 < 3.5 AND NOT false"]
+    return spark.range(1).select(*[F.lit(own.evaluate_const(t)).alias(f"x{i}") for i, t in enumerate(texts)])
+
+
+def q62_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the text grid of a small result."""
+    grid = engine(spark, sf_dir, "region").show("SELECT r_regionkey, r_name FROM region WHERE r_regionkey < 2 ORDER BY r_regionkey")
+    return spark.range(1).select(F.posexplode(F.split(F.lit(grid.strip()), "\n")).alias("place", "line"))
+
+
 API: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "q31_aggregate_star": (q31_aggregate_star, "SELECT max(p_partkey) AS max_partkey, max(p_size) AS max_size FROM part"),
+    "q33_boolean_column": (q33_boolean_column, "SELECT p_partkey FROM part WHERE p_size > 25 AND NOT (p_partkey < 10)"),
+    "q34_aggregate_types": (q34_aggregate_types, "SELECT min(l_linestatus) AS first_status, min(l_returnflag) AS first_flag, max(l_linenumber) AS most_lines, count(*) AS n FROM lineitem"),
+    "q35_nulls": (q35_nulls, "SELECT p_partkey FROM (SELECT p_partkey, CASE WHEN p_size <> 7 THEN p_size END AS size FROM part) WHERE size <> 3.5 AND NOT (size < 2 AND size > 3)"),
+    "q36_ordered": (q36_ordered, "SELECT c_nationkey, c_custkey, row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1 AS place FROM customer"),
+    "q37_ordered_by_aggregate": (q37_ordered_by_aggregate, "SELECT o_custkey, n, row_number() OVER (ORDER BY n, o_custkey) - 1 AS place FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)"),
+    "q56_merge_sorted": (q56_merge_sorted, "SELECT k, row_number() OVER (ORDER BY k) - 1 AS place FROM (SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region)"),
+    "q57_delete_count": (q57_delete_count, "SELECT count(*) AS n FROM supplier WHERE s_suppkey <= 7"),
+    "q58_text_records": (q58_text_records, "SELECT p_partkey, '|\"' || p_name || chr(10) || '\\p|' AS p_name FROM part"),
+    "q59_empty_load": (q59_empty_load, "SELECT * FROM region UNION ALL SELECT * FROM region"),
+    "q60_catalog": (q60_catalog, "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey"),
+    "q61_constants": (q61_constants, "SELECT 4 AS x0, -3 AS x1, 10.0::DOUBLE AS x2, true AS x3"),
+    "q62_grid": (
+        q62_grid,
+        "WITH r AS (SELECT r_regionkey, r_name, max(length(r_name)) OVER () AS w FROM region WHERE r_regionkey < 2), b AS (SELECT '+' || repeat('-', 13) || '+' || repeat('-', 2 + greatest(6, max(w))) || '+' AS rule, 2 + greatest(6, max(w)) AS w FROM r) "
+        "SELECT 0 AS place, rule AS line FROM b UNION ALL SELECT 1, '| r_regionkey |' || rpad(' r_name', w::INT, ' ') || '|' FROM b UNION ALL SELECT 2, rule FROM b "
+        "UNION ALL SELECT 3 + r_regionkey, '|' || rpad(' ' || r_regionkey, 13, ' ') || '|' || rpad(' ' || r_name, b.w::INT, ' ') || '|' FROM r, b UNION ALL SELECT 5, rule FROM b UNION ALL SELECT 6, '2 rows in set' FROM b",
+    ),
     "q50_union_distinct": (q50_union_distinct, "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey > 20 UNION SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey < 100"),
     "q51_delete": (q51_delete, "SELECT s_suppkey, s_name FROM supplier WHERE NOT s_suppkey <= 7"),
     "q52_insert": (q52_insert, "SELECT r_name, count(*) AS n FROM (SELECT r_name FROM region UNION ALL SELECT 'ATLANTIS') GROUP BY r_name"),

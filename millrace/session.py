@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.errors import AnalysisError, SchemaError
@@ -45,10 +47,14 @@ class Engine:
         """Give a table its rows. Without a definition it is declared from their schema.
 
         ``check`` makes breaking rows (nulls, over-long texts, values outside an enforced domain) an error;
-        it is always on for tables with enforced domains, which prune queries.
+        it is always on for tables with enforced domains, which prune queries. Fields of unchecked rows may hold nulls if
+        the rows' schema allows that: comparisons with null are then never true, under NOT neither.
         """
         known = self.catalog.get(name) or self.catalog.add(definition or table_of(name, rows.schema))
         check = check or any(f.enforced for f in known.fields)
+        open_to_null = {f.name for f in rows.schema.fields if f.nullable and not check}
+        known = replace(known, fields=tuple(replace(f, nullable=f.name in open_to_null) for f in known.fields))
+        self.catalog.tables[name] = known
         self.data[name] = conform(known, rows, check)
         return Table(known, self.data[name])
 

@@ -26,6 +26,7 @@ class FieldDef:
     min: Value | None = None
     max: Value | None = None
     enforced: bool = False  # the domain is checked when data is loaded, and prunes queries
+    nullable: bool = False  # rows are registered unchecked and may hold nulls
 
     def __post_init__(self) -> None:
         if self.type == FieldType.CHARARRAY and not (self.size and self.size > 0):

@@ -1,7 +1,8 @@
-"""Records as lines of text: ``Type: value`` pieces between bars, as in ``Record: | Int: 3 | String: "a" | ``.
+r"""Records as lines of text: ``Type: value`` pieces between bars, as in ``Record: | Int: 3 | String: "a" | ``.
 
 Both spellings of types and booleans are read (LongInt or Int64, 0/1 or True/False), so what is written can be
-read again. A line that doesn't have a table's fields, in type and order, is dropped or an error, as asked.
+read again. In texts a backslash is written \\, a quote \q, a bar \p, a line feed \n and a carriage return \r; a bar
+between quotes doesn't end a piece. A line that doesn't have a table's fields, in type and order, is dropped or an error, as asked.
 """
 
 from __future__ import annotations
@@ -26,15 +27,36 @@ NAMES = {
 _TEXTS = (FieldType.STRING, FieldType.CHARARRAY, FieldType.CHAR)
 
 
+#: What stands for a character of a text, the backslash first.
+ESCAPES = {"\\": "\\\\", '"': "\\q", "|": "\\p", "\n": "\\n", "\r": "\\r"}
+
+
+def _escaped(text: Column) -> Column:
+    for character, written in ESCAPES.items():
+        text = F.replace(text, F.lit(character), F.lit(written))
+    return text
+
+
+def _unescaped(text: Column) -> Column:
+    """Each part between doubled backslashes has its own escapes."""
+
+    def plain(part: Column) -> Column:
+        for character, written in list(ESCAPES.items())[1:]:
+            part = F.replace(part, F.lit(written), F.lit(character))
+        return part
+
+    return F.array_join(F.transform(F.split(text, r"\\\\"), plain), "\\")
+
+
 def _value(kind: FieldType, text: Column) -> Column:
     if kind == FieldType.BOOL:
         return F.when(F.lower(text).isin("1", "true"), F.lit(True)).when(F.lower(text).isin("0", "false"), F.lit(False))
-    return text if kind in _TEXTS else text.try_cast(SPARK_OF[kind])
+    return _unescaped(text) if kind in _TEXTS else text.try_cast(SPARK_OF[kind])
 
 
 def parse_records(lines: DataFrame, table: TableDef, column: str = "value", strict: bool = False) -> DataFrame:
     """Lines of text to rows of the table."""
-    pieces = F.filter(F.split(F.col(column), r"\|"), lambda p: p.rlike(r"^\s*\w+\s*:.*\S\s*$") & ~p.rlike(r"^\s*Record\s*:\s*$"))
+    pieces = F.filter(F.split(F.col(column), r'\|(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda p: p.rlike(r"^\s*\w+\s*:.*\S\s*$") & ~p.rlike(r"^\s*Record\s*:\s*$"))
     rows = lines.select(pieces.alias("p"))
     good = F.size("p") == len(table.fields)
     out = []
@@ -62,7 +84,7 @@ def format_records(rows: DataFrame, table: TableDef) -> DataFrame:
         if f.type == FieldType.BOOL:
             text = F.initcap(text)
         if f.type in _TEXTS:
-            text = F.concat(F.lit('"'), text, F.lit('"'))
+            text = F.concat(F.lit('"'), _escaped(text), F.lit('"'))
         parts.append(F.concat(F.lit(f"{NAMES[f.type][0]}: "), text, F.lit(" | ")))
     return rows.select(F.concat(F.lit("Record: | "), *parts).alias("value"))
 

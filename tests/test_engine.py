@@ -13,10 +13,12 @@ from test_dialect import CONDITIONS
 
 from millrace import AnalysisError, Engine, SchemaError
 from millrace.functions.scalar import evaluate
+from millrace.functions.types import FieldType
 from millrace.operators.table import empty, merge_sorted, union_distinct
 from millrace.plans.analyzer import Analyzer
 from millrace.plans.ast import ColumnRef
 from millrace.plans.parser import parse
+from millrace.sources.catalog import FieldDef, TableDef
 from millrace.sources.render import grid
 from millrace.sources.textio import format_records, parse_records
 from millrace.streaming.continuous import start
@@ -207,6 +209,34 @@ def test_text_records(spark):
         parse_records(lines, PUPPY, strict=True).collect()
 
 
+AWKWARD = ["a|b", "x\ny", '"quoted"', "back\\slash", "\\n", "\\\\p|", "\r", "", " padded ", '|"\\"|', "é \0"]
+
+
+def test_awkward_texts_in_records(spark):
+    table = TableDef("T", (FieldDef("a", FieldType.STRING), FieldDef("n", FieldType.INT), FieldDef("b", FieldType.STRING)))
+    rows = [(a, i, b) for i, (a, b) in enumerate(itertools.product(AWKWARD, AWKWARD))]
+    own = spark.createDataFrame(rows, "a string, n int, b string")
+    for strict in (False, True):
+        assert sorted(map(tuple, parse_records(format_records(own, table), table, strict=strict).collect())) == sorted(rows)
+    # A bar between quotes belongs to the text, also where another writer left it.
+    lines = spark.createDataFrame([('Record: | String: "a|b" | Int: 1 | String: "c" | ',)], "value string")
+    assert [tuple(r) for r in parse_records(lines, table, strict=True).collect()] == [("a|b", 1, "c")]
+
+
+@pytest.mark.parametrize("text", ["id != 3.5", "NOT (id < 2 AND id > 3)", "NOT (id = 3.5)", "NOT (id < 2 AND id > 3 OR name = 'b')".replace("'", '"'), "id != 2"])
+def test_nulls_are_never_true(spark, text):
+    rows = spark.createDataFrame([(1, "a"), (None, "a"), (2, "b"), (4, None)], "id int, name string")
+    own = Engine(spark)
+    own.register("t", rows)
+    expected = sorted(r.id for r in rows.where(text).collect())
+    assert None not in expected
+    assert sorted(r.id for r in own.sql(f"SELECT id FROM t WHERE {text}").collect()) == expected
+    with pytest.raises(Exception, match="breaks its declaration"):
+        checked = Engine(spark)
+        checked.register("t", rows, check=True)
+        checked.sql(f"SELECT id FROM t WHERE {text}").collect()
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame(PUPPIES, PUPPY.schema()).write.parquet(str(tmp_path / "in"))
     own = Engine(spark)
