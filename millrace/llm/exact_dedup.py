@@ -2,8 +2,12 @@
 
 The index is a table of one row per distinct normalised text, bucketed and sorted by the text's SHA-256
 digest. New rows are reduced to one candidate per digest (map-side combined), the candidates are
-sort-merge anti-joined with the index on its bucketing (the index side needs neither shuffle nor sort), and
-what is left is appended.
+sort-merge anti-joined with the index on its bucketing, and what is left is appended. The index side isn't
+shuffled. Spark sorts its buckets once more, in memory, since a bucket that was appended to is several sorted
+files.
+
+The query makes an index of its own on each run, which is empty at first: its anti-join drops nothing. The
+tests ingest into a filled one.
 
 Defined results:
 

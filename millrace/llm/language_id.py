@@ -33,6 +33,8 @@ from millrace.llm.common import held_out
 OWN, OTHER = 0x250, 1024
 LETTERS = OWN + OTHER + 1
 SLICE = 128
+#: Characters whose n-grams are taken at once, and n-grams whose vectors are made at once: 16 MB of them.
+PIECE, STEP = 1 << 20, 4096
 #: No training text weighs more than so many n-grams; weights are kept in so many parts of one.
 MOST, PARTS = 1000, 1024
 UNDETERMINED = "und"
@@ -92,13 +94,58 @@ def ngram_vectors(codes: np.ndarray, dim: int, n: int, seed: int) -> np.ndarray:
     return out
 
 
+def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Groups of some PIECE characters: the number of each part's text, and the parts. Longer texts are cut at a space, which changes no n-gram, or where there is none within PIECE characters, there."""
+    owners, parts, size = [], [], 0
+    for i, text in enumerate(texts):
+        start, text = 0, text or ""
+        while start < len(text):
+            end = len(text)
+            if end - start > PIECE:
+                space = text.rfind(" ", start + 1, start + PIECE)
+                end = space if space > start else start + PIECE
+            owners.append(i)
+            parts.append(text[start:end])
+            size, start = size + end - start, end
+            if size >= PIECE:
+                yield owners, parts
+                owners, parts, size = [], [], 0
+    if parts:
+        yield owners, parts
+
+
+def all_counts(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``ngram_counts``, for texts of any length: what is held at once is a piece, and the distinct n-grams."""
+    found = []
+    for owners, parts in _pieces(texts):
+        row, code, count = ngram_counts(parts, n)
+        found.append((np.array(owners)[row] * LETTERS**n + code, count))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pairs, at = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True)
+    count = np.bincount(at, np.concatenate([c for _, c in found]), len(pairs)).astype(np.int64)
+    return pairs // LETTERS**n, pairs % LETTERS**n, count
+
+
+def _steps(code: np.ndarray, dim: int, n: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For STEP distinct n-grams at a time: where ``code`` has them, which of them each is, and their vectors."""
+    codes, at = np.unique(code, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    edges = np.searchsorted(at[order], np.arange(0, len(codes) + STEP, STEP))
+    for k, start in enumerate(range(0, len(codes), STEP)):
+        own = order[edges[k] : edges[k + 1]]
+        yield own, at[own] - start, ngram_vectors(codes[start : start + STEP], dim, n, seed)
+
+
 def text_vectors(texts: list[str | None], dim: int, n: int, seed: int) -> np.ndarray:
     """One bundled vector for each text; all 0 for a text without a letter."""
-    row, code, count = ngram_counts(texts, n)
-    codes, at = np.unique(code, return_inverse=True)
-    weights = np.zeros((len(texts), len(codes)), np.float32)
-    weights[row, at] = count
-    return weights @ ngram_vectors(codes, dim, n, seed).astype(np.float32)
+    row, code, count = all_counts(texts, n)
+    total = np.zeros((len(texts), dim), np.float32)
+    for own, at, vectors in _steps(code, dim, n, seed):
+        weights = np.zeros((len(texts), len(vectors)), np.float32)
+        weights[row[own], at] = count[own]
+        total += weights @ vectors.astype(np.float32)
+    return total
 
 
 def prototypes(train: DataFrame, text_col: str, lang_col: str, dim: int, n: int, seed: int) -> dict[str, np.ndarray]:
@@ -110,15 +157,17 @@ def prototypes(train: DataFrame, text_col: str, lang_col: str, dim: int, n: int,
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
                 langs = np.array(part.column(1).to_pylist(), object)
-                row, code, count = ngram_counts(part.column(0).to_pylist(), n)
+                row, code, count = all_counts(part.column(0).to_pylist(), n)
                 # A text weighs as much as MOST n-grams at most, in whole parts.
                 size = np.bincount(row, count, len(langs))[row] if len(row) else np.zeros(0)
                 count = np.rint(PARTS * count * np.minimum(1, MOST / np.maximum(size, 1)))
-                codes, at = np.unique(code, return_inverse=True)
-                vectors = ngram_vectors(codes, dim, n, seed).astype(np.float64)
-                for lang in set(langs):
-                    own = langs[row] == lang
-                    total = np.bincount(at[own], count[own], len(codes)) @ vectors
+                totals = {lang: np.zeros(dim) for lang in set(langs)}
+                for own, at, vectors in _steps(code, dim, n, seed):
+                    spoken = langs[row[own]]
+                    for lang, total in totals.items():
+                        mine = spoken == lang
+                        total += np.bincount(at[mine], count[own][mine], len(vectors)) @ vectors.astype(np.float64)
+                for lang, total in totals.items():
                     sums[lang] = sums.get(lang, 0) + np.rint(total).astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "v"])

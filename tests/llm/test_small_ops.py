@@ -200,3 +200,22 @@ def test_token_counts_of_odd_characters(spark):
     for head in (1 << 18, 3):
         found = {x.doc_id: x.n_tokens for x in count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, head=head).collect()}
         assert found == {i: len(cutter.tokenizer.encode(t, add_special_tokens=False).ids) for i, t in rows}
+
+
+def test_language_vectors_of_long_texts_in_many_letters():
+    """Equal to the plain bundling of every n-gram, in pieces of any size."""
+    from millrace.llm import language_id as own
+
+    r = random.Random(8)
+    texts = ["", None, "a", *("".join(chr(r.choice([0x20] * 40 + [*range(0x4E00, 0x5200)])) for _ in range(n)) for n in (30, 4000, 9000))]
+    whole = own.text_vectors(texts, 64, 3, 7)
+    row, code, count = own.ngram_counts(texts, 3)
+    plain = np.zeros((len(texts), 64))
+    for i, c, k in zip(row, code, count, strict=True):
+        plain[i] += k * own.ngram_vectors(np.array([c]), 64, 3, 7)[0]
+    assert (whole == plain).all()
+    size, own.PIECE = own.PIECE, 500
+    try:
+        assert (own.text_vectors(texts, 64, 3, 7) == plain).all()
+    finally:
+        own.PIECE = size
