@@ -47,11 +47,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def release(*written: DataFrame) -> None:
-    """Remove tables of ``materialise`` that nothing will read any more."""
+    """Remove tables of ``materialise`` that nothing will read any more.
+
+    The shuffle files behind them go when the driver next collects its garbage, which it is asked to do.
+    """
     for df in written:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if written:
+        written[0].sparkSession._jvm.System.gc()
 
 
 def ascii_lower(column: Column) -> Column:
@@ -66,6 +71,8 @@ def held_out(doc_id: Column) -> Column:
 
 #: Lists of up to so many ids (16 bytes at most each) are broadcast; longer ones are shuffled.
 BROADCAST_IDS = 500_000
+#: Tables of two longs are broadcast up to so many rows: 32 MB, some 100 MB as a hash table.
+BROADCAST_KEYS = 2_000_000
 
 
 def only(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BROADCAST_IDS, materialise, release
+from millrace.llm.common import BROADCAST_KEYS, materialise, release
 
 
 def _rank(name: str) -> Column:
@@ -93,7 +93,7 @@ def link_buckets(banded: DataFrame, nodes: DataFrame, near: Callable[[str, str],
 
     stars = banded.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") != F.col("last")).select("key", "first")
     stars = materialise(stars, "stars")
-    members = materialise(banded.join(F.broadcast(stars) if stars.count() <= BROADCAST_IDS else stars, "key").join(nodes, "id").select("key", "id", "first", *columns), "buckets")
+    members = materialise(banded.join(F.broadcast(stars) if stars.count() <= BROADCAST_KEYS else stars, "key").join(nodes, "id").select("key", "id", "first", *columns), "buckets")
     release(stars)
     firsts = side(members.where(F.col("id") == F.col("first")), "a")
     pairs = side(members.where(F.col("id") != F.col("first")), "b").join(firsts, "key").where(near("a_", "b_"))
