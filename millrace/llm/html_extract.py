@@ -12,9 +12,10 @@
 3. The text is the article's blocks. A page without an article has its unmarked blocks instead, without the
    covered words: its unique runs.
 
-The words of an article are never covered by runs: pages may well share an article, or a passage of it. Only a short
-block (up to NOTICE characters) that stands in at least half of the host's distinct articles, and in LEAST of them, is a
-notice and goes, unless the article would have no text left.
+The words of an article are never covered one by one: pages may well share an article, or a passage of it. Only a short
+block (up to NOTICE characters) goes, and only whole: if all its words lie in repeated runs of the host's suffix order over
+the short blocks of its distinct articles. There a suffix is repeated if it is in at least half of those articles, and in
+LEAST of them; the first of the block must begin as many of them. It stays if the article would have no text left.
 
 Defined results:
 
@@ -202,17 +203,38 @@ def covered_words(rows: DataFrame, run: int, share: float = SHARE) -> DataFrame:
     return hits.groupBy("row_key").agg(F.collect_set("at").alias("covered"))
 
 
-def notices(rows: DataFrame) -> DataFrame:
-    """row_key, notices: the texts of the short blocks in the page's article that its host repeats in its distinct articles."""
+def block_suffixes(block: Column, run: int) -> Column:
+    """The suffixes of a block, cut to ``run`` words: their hashes in order. One of fewer words ends where the block does, and only equals such."""
+    words = F.split(block, " ")
+    return F.transform(words, lambda _, i: F.xxhash64(F.array_join(F.slice(words, i + 1, F.lit(run)), " "), i + run > F.size(words)))
+
+
+def notices(rows: DataFrame, run: int = RUN) -> DataFrame:
+    """row_key, notices: the texts of the short blocks in the page's article that its host repeats in its distinct articles.
+
+    A block is one if it begins with a suffix (to a depth of ``run`` words) with which short blocks begin in NOTICE_SHARE of those articles, and
+    all its words lie in suffixes that such blocks hold in as many. The others, nearly all, have their first suffix ordered and no more.
+    """
     inside = F.transform(F.filter("blocks", lambda b: b["zone"] == ARTICLE), lambda b: b["text"])
     # Copies of an article count once; hosts of fewer articles than LEAST have no notices.
     articles = rows.where("has_article").select("row_key", "host", F.xxhash64(F.array_join(inside, " ")).alias("article"), F.array_distinct(inside).alias("texts"))
     many = articles.select("host", "article").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("articles")).where(F.col("articles") >= LEAST)
-    short = articles.select("row_key", "host", "article", F.explode(F.filter("texts", lambda t: F.length(t) <= NOTICE)).alias("block"))
-    once = short.select("host", F.xxhash64("block").alias("h"), "article").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
-    repeated = materialise(once.join(many, "host").where(F.col("n") >= F.col("articles") * NOTICE_SHARE).select("host", "h"), "notices")
-    hits = short.withColumn("h", F.xxhash64("block")).join(repeated, ["host", "h"])
-    return hits.groupBy("row_key").agg(F.collect_set("block").alias("notices"))
+    short = articles.select("row_key", "host", "article", F.posexplode(F.filter("texts", lambda t: F.length(t) <= NOTICE)).alias("place", "block"))
+
+    def repeated(suffixes: DataFrame) -> DataFrame:
+        once = suffixes.select("host", "suffix", "article").distinct().groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
+        found = materialise(once.join(many, "host").where(F.col("n") >= F.col("articles") * NOTICE_SHARE).select("host", "suffix"), "repeated")
+        return F.broadcast(found) if found.count() <= MOST_NOTICES else found
+
+    first = F.split("block", " ", run + 1)
+    # The same hash as that of a block's first suffix, without the others.
+    begun = short.withColumn("suffix", F.xxhash64(F.array_join(F.slice(first, F.lit(1), F.lit(run)), " "), F.size(first) < run))
+    likely = materialise(begun.join(repeated(begun), ["host", "suffix"]).select("row_key", "host", "article", "place", "block"), "likely")
+    suffixes = likely.select("*", F.posexplode(block_suffixes(F.col("block"), run)).alias("at", "suffix"))
+    hits = suffixes.join(repeated(suffixes), ["host", "suffix"]).groupBy("row_key", "place").agg(F.first("block").alias("block"), F.collect_set("at").alias("starts"))
+    n = F.size(F.split("block", " "))
+    covered = F.array_distinct(F.flatten(F.transform("starts", lambda at: F.sequence(at, F.least(at + run, n) - 1))))
+    return hits.where(F.size(covered) == n).groupBy("row_key").agg(F.collect_set("block").alias("notices"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN) -> DataFrame:
@@ -228,7 +250,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         return rows.select("page_id", "url", F.array_join(texts, " ").alias("text"))
 
     # Pages with an article lose its notices; only the others meet the runs that their hosts repeat.
-    gone = materialise(notices(rows), "gone")
+    gone = materialise(notices(rows, run), "gone")
     size = gone.agg(F.count(F.lit(1)), F.sum(F.size("notices"))).first()
     # Lists of a checked size are broadcast, so that texts stay where they are; more are shuffled with them.
     few = size[0] <= BROADCAST_IDS and (size[1] or 0) <= MOST_NOTICES

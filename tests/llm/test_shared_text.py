@@ -37,3 +37,16 @@ def test_notices_inside_articles(spark):
     found = {p.page_id: p.text for p in extract_text(spark.createDataFrame(pages, SCHEMA)).collect()}
     expected = {i: " ".join(body) for i, body in enumerate(bodies)} | {20: notice, 21: f"{notice} x"} | {30 + i: "one story" for i in range(8)}
     assert found == expected
+
+
+def test_runs_decide_inside_articles(spark):
+    """Two notices that stand in one block on some pages and in two on others: no block of both is in half of the articles, their runs are."""
+    r = random.Random(8)
+    one, two, few = prose(r, 10), prose(r, 9), "Read more"
+    bodies = [prose(r, 30) for _ in range(10)]
+    shown = [f"<p>{one} {two}</p>" if i < 4 else f"<p>{one}</p><p>{two}</p>" for i in range(10)]
+    pages = [(i, f"http://h.com/{i}", f"<article>{shown[i]}<p>{body}</p><p>{few}</p></article>") for i, body in enumerate(bodies)]
+    # A block that only begins as they do stays whole.
+    pages.append((10, "http://h.com/10", f"<article><p>{one} but this is new</p><p>{bodies[0][::-1]}</p></article>"))
+    found = {x.page_id: x.text for x in extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found == dict(enumerate(bodies)) | {10: f"{one} but this is new {bodies[0][::-1]}"}
