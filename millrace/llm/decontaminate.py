@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise
+from millrace.llm.common import materialise, tidy
 from millrace.llm.words import ALPHANUMERIC, combine, slices, words
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 4, 6, 7))
@@ -91,7 +91,7 @@ def seed_rows(texts: DataFrame, outside: int, bitmap: np.ndarray | None = None,
                         columns = [pa.array(seed.view(np.int64)), part.column("id").take(pa.array(own)), pa.array((at - firsts[own]).astype(np.int32)), pa.array(counts[own].astype(np.int32)), lists]
                         yield pa.RecordBatch.from_arrays(columns, ["hash", "id", "at", "n", "around"])
 
-    return texts.mapInArrow(run, f"hash long, id {kind}, at int, n int, around array<int>")
+    return texts.mapInArrow(tidy(run), f"hash long, id {kind}, at int, n int, around array<int>")
 
 
 def bitmap_of(rows: DataFrame) -> np.ndarray:
@@ -140,7 +140,7 @@ def verified(hits: DataFrame) -> DataFrame:
                 numbers = [pa.array(x.astype(np.int32)) for x in (size[good], most[good], doc_at[good] + shift, item_at[good] + shift)]
                 yield pa.RecordBatch.from_arrays([take("doc_id"), take("item_id"), *numbers], ["doc_id", "item_id", "n_words", "n_equal", "doc_word", "item_word"])
 
-    return hits.mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, n_words int, n_equal int, doc_word int, item_word int")
+    return hits.mapInArrow(tidy(run), f"doc_id {doc_kind}, item_id {item_kind}, n_words int, n_equal int, doc_word int, item_word int")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import held_out
+from millrace.llm.common import held_out, tidy
 
 OWN, OTHER = 0x250, 1024
 LETTERS = OWN + OTHER + 1
@@ -172,7 +172,7 @@ def prototypes(train: DataFrame, text_col: str, lang_col: str, dim: int, n: int,
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "v"])
 
-    parts = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(run, "lang string, v array<long>")
+    parts = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(tidy(run), "lang string, v array<long>")
     cells = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     found: dict[str, np.ndarray] = {}
     for lang, i, x in cells.toPandas().itertuples(index=False):
@@ -215,4 +215,4 @@ def identify_languages(
         rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("__text"))
         given = rows.dtypes[:2]
     fields = ", ".join(f"`{n}` {t}" for n, t in given)
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), f"{fields}, lang_pred string, score double")

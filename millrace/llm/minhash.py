@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, only
+from millrace.llm.common import materialise, only, tidy
 from millrace.llm.components import link_buckets
 from millrace.llm.words import SPACES, combine, mix, shingles, slices, words
 
@@ -96,7 +96,7 @@ def features(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "keys", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, digest binary, keys array<long>, sketch array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, n long, digest binary, keys array<long>, sketch array<long>")
 
 
 def full_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -109,7 +109,7 @@ def full_sets(texts: DataFrame, size: int) -> DataFrame:
                 items = [s.view(np.int64) for s in shingles(hashes, row, part.num_rows, size)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(items, pa.list_(pa.int64()))], ["id", "items"])
 
-    return texts.mapInArrow(run, "id long, items array<long>").groupBy("id").agg(F.max_by("items", F.size("items")).alias("items"))
+    return texts.mapInArrow(tidy(run), "id long, items array<long>").groupBy("id").agg(F.max_by("items", F.size("items")).alias("items"))
 
 
 def _near(a: str, b: str, similarity: float, bound: int) -> Column:

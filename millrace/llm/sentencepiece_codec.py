@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise
+from millrace.llm.common import materialise, tidy
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -309,7 +309,7 @@ def _encode_short(docs: DataFrame, model: str, round_trip: bool) -> DataFrame:
                     columns.append(pa.array([a == b for a, b in zip(own.decode(ids), texts, strict=True)]))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_chunks int, ids array<int>" + ", round_trip boolean" * round_trip)
+    return docs.mapInArrow(tidy(run), f"doc_id {kind}, n_chunks int, ids array<int>" + ", round_trip boolean" * round_trip)
 
 
 def _chunked(giants: DataFrame, model: str, chunk: int) -> DataFrame:
@@ -327,7 +327,7 @@ def _chunked(giants: DataFrame, model: str, chunk: int) -> DataFrame:
                     columns = [pa.array([key], pa.int64()), pa.array([i], pa.int64()), pa.array([around]), pa.array([start - low], pa.int32()), pa.array([end], pa.int32()), pa.array([cells], pa.list_(_CELL))]
                     yield pa.RecordBatch.from_arrays(columns, ["row_key", "i", "around", "start", "end", "m"])
 
-    return giants.mapInArrow(run, f"row_key long, i long, around string, start int, end int, m {_MATRIX}")
+    return giants.mapInArrow(tidy(run), f"row_key long, i long, around string, start int, end int, m {_MATRIX}")
 
 
 def _combined(level: DataFrame) -> DataFrame:
@@ -377,7 +377,7 @@ def _traced(chunks: DataFrame, model: str) -> DataFrame:
                 ids.append(own.trace(r["around"], r["start"], r["end"], (r["entry"], r["entry_over"]), (r["leave"], r["leave_over"])).tolist())
             yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("i"), pa.array(ids, pa.list_(pa.int32()))], ["row_key", "i", "ids"])
 
-    return chunks.mapInArrow(run, "row_key long, i long, ids array<int>")
+    return chunks.mapInArrow(tidy(run), "row_key long, i long, ids array<int>")
 
 
 def _encode_giants(giants: DataFrame, model: str, chunk: int) -> DataFrame:
@@ -407,7 +407,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([_row_keys(key, batch.num_rows), *batch.columns], ["row_key", *batch.schema.names])
             key += batch.num_rows
 
-    return rows.mapInArrow(run, f"row_key long, {fields}")
+    return rows.mapInArrow(tidy(run), f"row_key long, {fields}")
 
 
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, round_trip: bool = False) -> DataFrame:
@@ -437,4 +437,4 @@ def decode_documents(encoded: DataFrame, model: str, ids_col: str = "ids", out_c
                 texts = decode(part.column(ids_col))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out_col])
 
-    return encoded.mapInArrow(run, f"{fields}, `{out_col}` string")
+    return encoded.mapInArrow(tidy(run), f"{fields}, `{out_col}` string")
